@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galewright.operators.gridding import regular_grid
 from galewright.operators.imputation import fill_category, fill_numbers, text_or_null
+from galewright.operators.spikes import Field, implausible_values
 from galewright.operators.orphans import Reference, orphan_references, report_per_month
 from galewright.operators.timestamps import with_instant
 from galewright.operators.topn import top_n_per_group
@@ -23,6 +24,14 @@ REFERENCES = [
 ]
 
 
+#: Power is held against the torque, in shares of the turbine's full power; wind and temperature against their second sensor.
+CHECKED = [
+    Field("p_avg", ("cm_avg",), least=0.1, low=-0.2, high=1.3, scaled=True, relative=True),
+    Field("ws_avg", ("ws2_avg", "ws1_avg"), least=3.0, low=0.0, high=50.0),
+    Field("db1t_avg", ("db2t_avg",), least=4.0, low=-45.0, high=130.0),
+]
+
+
 def named_readings(df: DataFrame) -> DataFrame:
     """The readings with the turbine's name filled from its file."""
     return fill_category(df, NAME, [["source_file"]], F.nullif(F.regexp_extract("source_file", r"turbine_([^_]+)_", 1), F.lit("")))
@@ -37,6 +46,20 @@ def filled_readings(df: DataFrame) -> DataFrame:
     return fill_numbers(keyed, LIMITS, levels).drop("__utc", "__hour", "__day")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = sorted({f.name for f in CHECKED} | {c for f in CHECKED for c in f.companion})
+    df = table(spark, sf_dir, "turbine_readings").select("rec_id", NAME, "date_time", "received_at", "source_file", *signals)
+    timed = with_instant(named_readings(df), "date_time", "__utc", received="received_at")
+    arrived = timed.withColumn("__arrived", F.unix_seconds(F.col("received_at").cast("timestamp")) - 300)
+    return implausible_values(arrived, "rec_id", NAME, "__utc", CHECKED, "__arrived")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Implausible values counted per turbine file and field."""
+    files = table(spark, sf_dir, "turbine_readings").select("rec_id", "source_file")
+    return p1_found(spark, sf_dir).join(files, "rec_id").groupBy("source_file", "field").agg(F.count("*").alias("n"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: table(spark, sf_dir, t) for t in ("exact_search", "cnn_genome", "cnn_node", "cnn_edge")}
     return orphan_references(tables, REFERENCES).select("table_name", F.col("row_id").cast("int").alias("row_id"), "ref_field").distinct()
@@ -86,7 +109,7 @@ def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridded(spark, sf_dir).select(NAME, "slot_s", "n", "is_empty", r("p_avg"), r("p_avg_support"), r("ws_avg"), r("ws_avg_support"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_filled, p4_found, p5_found, p6_found, p6_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_report, p3_found, p3_filled, p4_found, p5_found, p6_found, p6_grid)}
 
 
 def _orphans(source: str, field: str, target: str, on: str, deletes: bool = True) -> str:
