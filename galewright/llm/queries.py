@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from galewright.llm.leakage import leaked_items
 from galewright.llm.tokenize import encode_corpus
+from galewright.llm.truncation import cut_share, cut_texts
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,5 +27,13 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_found(spark, sf_dir).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_items)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_texts(_read(spark, sf_dir, "documents"))
+
+
+def p9_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_share(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p7_ids, p8_found, p8_items, p9_found, p9_share)}
 ORACLES: dict[str, str] = {}
