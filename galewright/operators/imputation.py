@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galewright.session import cut_lineage
+
 # Numbers that loggers write for "no value".
 STAND_IN_NUMBERS = [-99999.0, -32768.0, -9999.0, -999.99, -999.9, -999.0, 999.99, 999.9, 9999.0, 32767.0, 65535.0, 99999.0, 2147483647.0]
 # Texts that stand for "no value", in lower case.
@@ -79,11 +81,13 @@ def fill_numbers(df: DataFrame, limits: dict[str, tuple[float, float]], levels:
     made = {f"{c}_{x}" for c in names for x in ("missing", "filled", "fill_level")}
     base = df.select(*[c for c in df.columns if c not in made and c not in names], *[number_or_null(c, *limits[c]).alias(c) for c in names])
     marked = base.withColumns({f"{c}_missing": F.col(c).isNull() for c in names})
+    # Every level reads the cleaned rows again: from files, not by parsing them anew.
+    marked = cut_lineage(marked)
     lacking = " OR ".join(f"`{c}_missing`" for c in names)
     whole, gaps = marked.where(f"NOT ({lacking})"), marked.where(lacking)
     value, level_no = {c: F.col(c) for c in names}, {c: F.when(F.col(c).isNotNull(), 0) for c in names}
     for i, level in enumerate(levels, 1):
-        stats = base.groupBy(*level).agg(
+        stats = marked.groupBy(*level).agg(
             *[F.percentile_approx(c, F.lit(0.5), F.lit(accuracy)).alias(f"__gw_v{i}_{c}") for c in names], *[F.count(c).alias(f"__gw_n{i}_{c}") for c in names]
         )
         gaps = gaps.join(stats, list(level), "left") if level else gaps.crossJoin(F.broadcast(stats))  # one row of statistics
