@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galewright.plans import quality
+from galewright.plans import quality, series
 
-MODULES = [quality]
+MODULES = [quality, series]
 
 
 def core_queries() -> dict:
