@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galewright.plans import quality, series
+from galewright.plans import quality, relational, series
 
-MODULES = [quality, series]
+MODULES = [quality, series, relational]
 
 
 def core_queries() -> dict:
