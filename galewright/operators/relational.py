@@ -103,8 +103,8 @@ def shared_fitness(df: DataFrame, group: str, row_id: str, position: str, fitnes
 
     Counted by a range frame over the sorted positions; no pairs are made.
     """
-    w = Window.partitionBy(group).orderBy(position).rangeBetween(-threshold, threshold)
-    near = F.count("*").over(w)
+    frame = f"RANGE BETWEEN {float(threshold)}D PRECEDING AND {float(threshold)}D FOLLOWING"
+    near = F.expr(f"count(*) OVER (PARTITION BY `{group}` ORDER BY CAST(`{position}` AS DOUBLE) {frame})")
     return df.select(group, row_id, F.col(fitness).alias("fitness"), near.alias("n_near"), (F.col(fitness) / near).alias("share"))
 
 

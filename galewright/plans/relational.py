@@ -365,12 +365,12 @@ def activations(spark, d):
 def array_functions(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("v"))
     s = X.softmax(F.col("v"))
-    return e.select("vec_id", r(X.norm(F.col("v"))).alias("norm"), r(X.product(F.col("v")), 9).alias("product"), r(s[0]).alias("p0"), X.argmax(F.col("v")).cast("bigint").alias("argmax"), r(F.array_max(X.keep_top(s, 3))).alias("top3"))
+    return e.select("vec_id", r(X.norm(F.col("v"))).alias("norm"), (r(X.product(F.col("v")), 9) + 0.0).alias("product"), r(s[0]).alias("p0"), X.argmax(F.col("v")).cast("bigint").alias("argmax"), r(F.array_max(X.keep_top(s, 3))).alias("top3"))
 
 
 def clamped_moments(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list((F.col("value") - 50) / 4)).alias("v"))
-    return e.select("user_id", X.clamped_mean_sd(F.col("v")).alias("m")).select("user_id", r("m.mu").alias("mu"), r("m.sigma").alias("sigma"))
+    return e.select("user_id", X.clamped_mean_sd(F.col("v")).alias("m")).select("user_id", r("m.mu", 9).alias("mu"), r("m.sigma", 9).alias("sigma"))
 
 
 def label_text(spark, d):
@@ -400,8 +400,8 @@ _URG = "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"
 _SH = "SELECT a.p_brand, a.p_partkey, count(*) AS n_near, any_value(a.p_retailprice) / count(*) AS share FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs({p} - {q}) <= 3 GROUP BY a.p_brand, a.p_partkey"
 _ST = "st AS (SELECT o_orderkey AS episode_id, max(o_totalprice) / 100000 AS mse FROM orders WHERE o_orderkey < 400 GROUP BY o_orderkey)"
 _PR = "exp(-0.01::DOUBLE * ({g} - episode_id)) / (mse + 1e-8)"
-_TK = r"""tk AS (SELECT doc_id, unnest(list_concat(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), ' +', ' ', 'g'), ' '), x -> x <> ''), ['<eos>'])) AS token,
-generate_subscripts(list_concat(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), ' +', ' ', 'g'), ' '), x -> x <> ''), ['<eos>']), 1) - 1 AS pos FROM documents)"""
+_TK = r"""tk AS (SELECT doc_id, unnest(list_concat(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), ' +', ' ', 'g'), ' '), lambda x: x <> ''), ['<eos>'])) AS token,
+generate_subscripts(list_concat(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), ' +', ' ', 'g'), ' '), lambda x: x <> ''), ['<eos>']), 1) - 1 AS pos FROM documents)"""
 _VO = f"{_TK}, vo AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY token) - 1 AS word_id FROM tk GROUP BY token)"
 _u = P.hash_unit_sql
 _RG = ["best_validation_error::DOUBLE", "training_error::DOUBLE", "test_error::DOUBLE", "best_validation_predictions", "training_predictions", "test_predictions", "training_error::DOUBLE + best_validation_error::DOUBLE", "training_predictions + best_validation_predictions"]
@@ -451,8 +451,8 @@ ORACLES = {
     "zscore_rank": """WITH g AS (SELECT c_mktsegment, o_orderpriority, avg(o_totalprice) AS a FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), z AS (SELECT o_orderpriority, (a - avg(a) OVER w) / stddev_samp(a) OVER w AS z FROM g WINDOW w AS (PARTITION BY c_mktsegment)),
     m AS (SELECT o_orderpriority, avg(z) AS m FROM z GROUP BY o_orderpriority) SELECT o_orderpriority, round(m, 6) AS mean_z, rank() OVER (ORDER BY round(m, 9)) AS place FROM m""",
     "species_distance": f"""WITH {_ED}, l AS (SELECT exact_id, genome_id, list_sort(list_distinct(list(innovation_number))) AS a FROM ed WHERE genome_id IS NOT NULL AND exact_id IS NOT NULL GROUP BY ALL),
-    p AS (SELECT *, lag(a) OVER (PARTITION BY exact_id ORDER BY genome_id) AS b FROM l), q AS (SELECT exact_id, genome_id, list_filter(a, x -> NOT list_contains(b, x)) AS oa, list_filter(b, x -> NOT list_contains(a, x)) AS ob, a, b FROM p WHERE b IS NOT NULL),
-    s AS (SELECT exact_id, genome_id, len(list_filter(oa, x -> x > list_max(b))) + len(list_filter(ob, x -> x > list_max(a))) AS excess, len(oa) + len(ob) AS alone, len(list_distinct(list_concat(a, b))) AS n_union FROM q)
+    p AS (SELECT *, lag(a) OVER (PARTITION BY exact_id ORDER BY genome_id) AS b FROM l), q AS (SELECT exact_id, genome_id, list_filter(a, lambda x: NOT list_contains(b, x)) AS oa, list_filter(b, lambda x: NOT list_contains(a, x)) AS ob, a, b FROM p WHERE b IS NOT NULL),
+    s AS (SELECT exact_id, genome_id, len(list_filter(oa, lambda x: x > list_max(b))) + len(list_filter(ob, lambda x: x > list_max(a))) AS excess, len(oa) + len(ob) AS alone, len(list_distinct(list_concat(a, b))) AS n_union FROM q)
     SELECT exact_id, genome_id, excess, alone - excess AS disjoint, n_union FROM s""",
     "fitness_share": "SELECT p_partkey, n_near, round(share, 6) AS share FROM (" + _SH.format(p="a.p_size", q="b.p_size") + ")",
     "share_outliers": "WITH s AS (" + _SH.format(p="a.p_size * a.p_size", q="b.p_size * b.p_size") + "), l AS (SELECT *, avg(share) OVER w + 3 * sqrt(sum(share * share) OVER w / nullif(count(*) OVER w - 1, 0)) AS lim FROM s WINDOW w AS (PARTITION BY p_brand)) SELECT p_partkey, round(share, 6) AS share FROM l WHERE l.share > lim",
@@ -482,9 +482,9 @@ ORACLES = {
     "activations": """WITH x AS (SELECT *, (l_quantity - 25) / 10 AS x, 1 / (1 + exp(-(l_quantity - 25) / 10)) AS s FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(s, 6) AS sigmoid, round(s * (1 - s), 6) AS sigmoid_slope,
     round(2 / (1 + exp(-2 * x)) - 1, 6) AS tanh, round(1 - (2 / (1 + exp(-2 * x)) - 1) ** 2, 6) AS tanh_slope, round(x * s, 6) AS swish, round(s + x * s * (1 - s), 6) AS swish_slope, round(greatest(0.01::DOUBLE * x, x), 6) AS leaky,
     round(CASE WHEN x * 4 <= 0 THEN x * 4 * 0.005::DOUBLE WHEN x * 4 > 5.5 THEN 5.5 ELSE x * 4 END, 6) AS clamped, round(least(greatest(x * 6, -10), 10), 6) AS bound, round(1 / nullif(x, 0), 6) AS inverse, round(sin(x), 6) AS sin, round(cos(x), 6) AS cos FROM x""",
-    "array_functions": """WITH x AS (SELECT vec_id, list_transform(embedding[1:8], v -> v::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, v, list_transform(v, a -> exp(a)) AS e FROM x), s AS (SELECT *, list_transform(e, a -> a / list_sum(e)) AS s FROM e)
-    SELECT vec_id, round(sqrt(list_sum(list_transform(v, a -> a * a))), 6) AS norm, round(list_product(v), 9) AS product, round(s[1], 6) AS p0, list_position(v, list_max(v)) - 1 AS argmax, round(list_max(s) / list_sum(list_reverse_sort(s)[1:3]), 6) AS top3 FROM s""",
+    "array_functions": """WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, v, list_transform(v, lambda a: exp(a)) AS e FROM x), s AS (SELECT *, list_transform(e, lambda a: a / list_sum(e)) AS s FROM e)
+    SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda a: a * a))), 6) AS norm, round(list_product(v), 9) + 0.0::DOUBLE AS product, round(s[1], 6) AS p0, list_position(v, list_max(v)) - 1 AS argmax, round(list_max(s) / list_sum(list_reverse_sort(s)[1:3]), 6) AS top3 FROM s""",
     "clamped_moments": """WITH x AS (SELECT user_id, (value - 50) / 4 AS v FROM events), m AS (SELECT user_id, avg(least(greatest(v, -10), 10)) AS mu FROM x GROUP BY user_id)
-    SELECT user_id, round(any_value(mu), 6) AS mu, round(sqrt(sum((v - mu) ** 2) / (count(*) - 1)), 6) AS sigma FROM x JOIN m USING (user_id) GROUP BY user_id""",
+    SELECT user_id, round(any_value(mu), 9) AS mu, round(sqrt(sum((v - mu) ** 2) / (count(*) - 1)), 9) AS sigma FROM x JOIN m USING (user_id) GROUP BY user_id""",
     "label_text": "SELECT DISTINCT search_name, replace(replace(concat(search_name, '_norec'), '_norec', ''), '_', '+') AS label, search_name AS stem FROM exact_search",
 }
