@@ -369,7 +369,7 @@ def array_functions(spark, d):
 
 
 def clamped_moments(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list((F.col("value") - 50) / 4)).alias("v"))
+    e = table(spark, d, "events").groupBy("user_id").agg(F.sort_array(F.collect_list((F.col("value") - 50) / 3.7)).alias("v"))
     return e.select("user_id", X.clamped_mean_sd(F.col("v")).alias("m")).select("user_id", r("m.mu", 9).alias("mu"), r("m.sigma", 9).alias("sigma"))
 
 
@@ -484,7 +484,7 @@ ORACLES = {
     round(CASE WHEN x * 4 <= 0 THEN x * 4 * 0.005::DOUBLE WHEN x * 4 > 5.5 THEN 5.5 ELSE x * 4 END, 6) AS clamped, round(least(greatest(x * 6, -10), 10), 6) AS bound, round(1 / nullif(x, 0), 6) AS inverse, round(sin(x), 6) AS sin, round(cos(x), 6) AS cos FROM x""",
     "array_functions": """WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, v, list_transform(v, lambda a: exp(a)) AS e FROM x), s AS (SELECT *, list_transform(e, lambda a: a / list_sum(e)) AS s FROM e)
     SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda a: a * a))), 6) AS norm, round(list_product(v), 9) + 0.0::DOUBLE AS product, round(s[1], 6) AS p0, list_position(v, list_max(v)) - 1 AS argmax, round(list_max(s) / list_sum(list_reverse_sort(s)[1:3]), 6) AS top3 FROM s""",
-    "clamped_moments": """WITH x AS (SELECT user_id, (value - 50) / 4 AS v FROM events), m AS (SELECT user_id, avg(least(greatest(v, -10), 10)) AS mu FROM x GROUP BY user_id)
+    "clamped_moments": """WITH x AS (SELECT user_id, (value - 50) / 3.7::DOUBLE AS v FROM events), m AS (SELECT user_id, avg(least(greatest(v, -10), 10)) AS mu FROM x GROUP BY user_id)
     SELECT user_id, round(any_value(mu), 9) AS mu, round(sqrt(sum((v - mu) ** 2) / (count(*) - 1)), 9) AS sigma FROM x JOIN m USING (user_id) GROUP BY user_id""",
     "label_text": "SELECT DISTINCT search_name, replace(replace(concat(search_name, '_norec'), '_norec', ''), '_', '+') AS label, search_name AS stem FROM exact_search",
 }
