@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galewright.plans import quality, relational, series
+from galewright.plans import network, quality, relational, series
 
-MODULES = [quality, series, relational]
+MODULES = [quality, series, relational, network]
 
 
 def core_queries() -> dict:

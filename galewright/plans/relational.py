@@ -161,7 +161,7 @@ def not_in_keep(spark, d):
 
 
 def range_computed(spark, d):
-    return table(spark, d, "orders").where("o_orderkey BETWEEN 1000 AND 3000").select("o_orderkey", r(F.col("o_totalprice") / 1000).alias("thousands"))
+    return table(spark, d, "orders").where("o_totalprice BETWEEN 100000 AND 200000").select("o_orderkey", r(F.col("o_totalprice") / 1000).alias("thousands"))
 
 
 def is_null_flag(spark, d):
@@ -282,8 +282,9 @@ def sample_gumbel(spark, d):
 
 
 def _state(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 400").groupBy(F.col("o_orderkey").alias("episode_id")).agg((F.max("o_totalprice") / 100000).alias("mse"))
-    return o.withColumn("available_from", F.col("episode_id"))
+    """Orders as episodes: their price is the error, their number the generation from which they are there."""
+    o = table(spark, d, "orders").groupBy(F.col("o_orderkey").alias("episode_id")).agg((F.max("o_totalprice") / 100000).alias("mse"))
+    return o.withColumn("available_from", F.col("episode_id") / 100)
 
 
 def priority_values(spark, d):
@@ -293,7 +294,7 @@ def priority_values(spark, d):
 
 def priority_update(spark, d):
     elite = spark.range(1).select(F.lit(0.25).alias("best"), F.lit(0.5).alias("avg"))
-    return P.updated_priorities(_state(spark, d), 200, elite, 50).select("episode_id", r("mse").alias("mse"))
+    return P.updated_priorities(_state(spark, d), 200, elite, 50).select("episode_id", r("mse", 9).alias("mse"))
 
 
 def priority_topn(spark, d):
@@ -303,7 +304,9 @@ def priority_topn(spark, d):
 
 def priority_log(spark, d):
     """One row per generation with two columns for each of three episodes."""
-    s = _state(spark, d).where("episode_id IN (1, 2, 3)").select("episode_id", "mse", "available_from", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("generation"))
+    o = table(spark, d, "orders").groupBy(F.length("o_orderpriority").alias("k")).agg((F.avg("o_totalprice") / 100000).alias("mse"))
+    o = o.select(F.when(F.col("k") < 7, 1).when(F.col("k") < 9, 2).otherwise(3).alias("episode_id"), "mse").groupBy("episode_id").agg(F.max("mse").alias("mse"))
+    s = o.withColumn("available_from", F.col("episode_id")).select("episode_id", "mse", "available_from", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("generation"))
     s = s.withColumn("priority", P.priority(F.col("mse"), F.col("generation"), F.col("available_from")))
     wide = s.groupBy("generation").pivot("episode_id", [1, 2, 3]).agg(F.first("mse").alias("mse"), F.first("priority").alias("priority"))
     return wide.select("generation", *[r(F.col(f"{k}_{c}")).alias(f"episode_{k}_{c}") for k in (1, 2, 3) for c in ("mse", "priority")])
@@ -398,8 +401,8 @@ _ORD = "SELECT o_custkey, round(o_totalprice, 2) AS price, min(o_orderkey) AS o_
 _BIG = "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000"
 _URG = "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"
 _SH = "SELECT a.p_brand, a.p_partkey, count(*) AS n_near, any_value(a.p_retailprice) / count(*) AS share FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs({p} - {q}) <= 3 GROUP BY a.p_brand, a.p_partkey"
-_ST = "st AS (SELECT o_orderkey AS episode_id, max(o_totalprice) / 100000 AS mse FROM orders WHERE o_orderkey < 400 GROUP BY o_orderkey)"
-_PR = "exp(-0.01::DOUBLE * ({g} - episode_id)) / (mse + 1e-8)"
+_ST = "st AS (SELECT o_orderkey AS episode_id, max(o_totalprice) / 100000 AS mse FROM orders GROUP BY o_orderkey)"
+_PR = "exp(-0.01::DOUBLE * ({g} - episode_id / 100)) / (mse + 1e-8)"
 _TK = r"""tk AS (SELECT doc_id, unnest(list_concat(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), ' +', ' ', 'g'), ' '), lambda x: x <> ''), ['<eos>'])) AS token,
 generate_subscripts(list_concat(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), ' +', ' ', 'g'), ' '), lambda x: x <> ''), ['<eos>']), 1) - 1 AS pos FROM documents)"""
 _VO = f"{_TK}, vo AS (SELECT token, count(*) AS n, row_number() OVER (ORDER BY token) - 1 AS word_id FROM tk GROUP BY token)"
@@ -437,7 +440,7 @@ ORACLES = {
     "agg24": "SELECT " + ", ".join(f"round({f}({v})::DOUBLE, 4) AS {f}_{i}" for i, v in enumerate(_RG) for f in ("min", "avg", "max")) + " FROM cnn_genome WHERE NOT isnan(best_validation_error) AND NOT isnan(training_error) AND deleted_at IS NULL AND best_validation_error < 1000",
     "order_limit": "SELECT p_partkey, p_name FROM part ORDER BY p_retailprice * p_size DESC, p_partkey LIMIT 25",
     "not_in_keep": "SELECT DISTINCT id, exact_id FROM cnn_genome WHERE id NOT IN (SELECT id FROM cnn_genome WHERE best_validation_error <= 0.5 AND id IS NOT NULL)",
-    "range_computed": "SELECT o_orderkey, round(o_totalprice / 1000, 6) AS thousands FROM orders WHERE o_orderkey BETWEEN 1000 AND 3000",
+    "range_computed": "SELECT o_orderkey, round(o_totalprice / 1000, 6) AS thousands FROM orders WHERE o_totalprice BETWEEN 100000 AND 200000",
     "is_null_flag": "SELECT exact_id, count(*) FILTER (test_error IS NULL) AS n_untested, count(*) AS n FROM cnn_genome GROUP BY exact_id",
     "update_set": "SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS o_totalprice FROM orders",
     "upsert_rows": "SELECT s_suppkey, round(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_acctbal END, 2) AS s_acctbal FROM supplier",
@@ -467,10 +470,11 @@ ORACLES = {
     "sample_normal": f"SELECT o_orderkey, round(10 + 2 * sqrt(-2 * ln({_u('o_orderkey', 3)})) * cos(2 * pi() * {_u('o_orderkey', 7922)}), 6) AS z FROM orders",
     "sample_gumbel": f"SELECT o_orderkey, round(-ln(-ln({_u('o_orderkey', 9)})), 6) AS g FROM orders",
     "priority_values": f"WITH {_ST} SELECT episode_id, round({_PR.format(g=200)}, 6) AS priority FROM st",
-    "priority_update": f"WITH {_ST} SELECT episode_id, round(CASE WHEN episode_id = 200 THEN 0.25::DOUBLE WHEN episode_id >= 150 AND episode_id < 200 THEN 0.7::DOUBLE * mse + 0.3::DOUBLE * 0.5 ELSE mse END, 6) AS mse FROM st",
+    "priority_update": f"WITH {_ST} SELECT episode_id, round(CASE WHEN episode_id = 200 THEN 0.25::DOUBLE WHEN episode_id >= 150 AND episode_id < 200 THEN 0.7::DOUBLE * mse + 0.3::DOUBLE * 0.5 ELSE mse END, 9) AS mse FROM st",
     "priority_topn": f"WITH {_ST} SELECT episode_id FROM st ORDER BY -ln({_u('episode_id', 3)}) / pow({_PR.format(g=200)}, 0.6), episode_id LIMIT 40",
-    "priority_log": f"WITH {_ST}, x AS (SELECT *, CAST(g AS INT) AS generation FROM st, (SELECT unnest(range(0, 5)) AS g) WHERE episode_id IN (1, 2, 3)) SELECT generation, "
-    + ", ".join(f"round(max(mse) FILTER (episode_id = {k}), 6) AS episode_{k}_mse, round(max({_PR.format(g='generation')}) FILTER (episode_id = {k}), 6) AS episode_{k}_priority" for k in (1, 2, 3)) + " FROM x GROUP BY generation",
+    "priority_log": """WITH a AS (SELECT length(o_orderpriority) AS k, avg(o_totalprice) / 100000 AS mse FROM orders GROUP BY ALL), st AS (SELECT CASE WHEN k < 7 THEN 1 WHEN k < 9 THEN 2 ELSE 3 END AS episode_id, max(mse) AS mse FROM a GROUP BY ALL),
+    x AS (SELECT *, CAST(g AS INT) AS generation FROM st, (SELECT unnest(range(0, 5)) AS g)) SELECT generation, """
+    + ", ".join(f"round(max(mse) FILTER (episode_id = {k}), 6) AS episode_{k}_mse, round(max(exp(-0.01::DOUBLE * (generation - episode_id)) / (mse + 1e-8)) FILTER (episode_id = {k}), 6) AS episode_{k}_priority" for k in (1, 2, 3)) + " FROM x GROUP BY generation",
     "elite_statistics": f"""WITH {_G}, x AS (SELECT DISTINCT exact_id, id, err FROM g WHERE {_OK} AND exact_id IS NOT NULL), y AS (SELECT *, row_number() OVER (PARTITION BY exact_id ORDER BY err, id) AS k FROM x)
     SELECT exact_id, round(min(err), 6) AS best, round(avg(err), 5) AS avg, round(max(err), 6) AS worst, count(*) AS n FROM y WHERE k <= 5 GROUP BY exact_id""",
     "text_tokens": f"WITH {_TK} SELECT doc_id, count(*) AS n_tokens FROM tk GROUP BY doc_id",

@@ -52,7 +52,9 @@ def series_cut(spark, d):
 
 
 def series_project(spark, d):
-    return events(spark, d).where("user_id % 2 = 0").select("user_id", "t", "value")
+    """Series with their role: each third user's trains."""
+    training = F.col("user_id") % 3 == 1
+    return events(spark, d).select("user_id", "t", "value", F.when(training, "train").otherwise("test").alias("role"))
 
 
 def global_bounds(spark, d):
@@ -298,7 +300,7 @@ ORACLES = {
     round(stddev_samp(value), 6) AS sd, round(min(d), 6) AS min_change, round(max(d), 6) AS max_change FROM d GROUP BY user_id""",
     "series_constant": "SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1 AND min(round(l_tax, 2)) = max(round(l_tax, 2))",
     "series_cut": f"WITH {_E} SELECT user_id, count(*) AS n, round(avg(value), 6) AS avg_value FROM e WHERE t >= 5 AND t < 15 GROUP BY user_id",
-    "series_project": f"WITH {_E} SELECT user_id, t, value FROM e WHERE user_id % 2 = 0",
+    "series_project": f"WITH {_E} SELECT user_id, t, value, CASE WHEN user_id % 3 = 1 THEN 'train' ELSE 'test' END AS role FROM e",
     "global_bounds": "SELECT event_type, round(min(value), 6) AS lo, round(max(value), 6) AS hi FROM events GROUP BY event_type",
     "pooled_var": "SELECT event_type, count(value) AS n, round(avg(value), 6) AS avg, round(var_samp(value), 4) AS pooled_var FROM events GROUP BY event_type",
     "norm_min_max": _scale_sql("(value - lo) / (hi - lo)"),
