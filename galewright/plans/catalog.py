@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from galewright.plans import network, quality, relational, series
+from galewright.plans import network, quality, relational, series, streams
 
-MODULES = [quality, series, relational, network]
+MODULES = [quality, series, relational, network, streams]
 
 
 def core_queries() -> dict:
