@@ -113,11 +113,11 @@ def packed_images(spark, path: str) -> DataFrame:
 
 def channel_statistics(df: DataFrame, image: str, channel: str, value: str) -> DataFrame:
     """Per channel: mean, and the root of the mean over images of each image's mean squared deviation from it."""
-    per = df.groupBy(channel, image).agg(F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"), F.count(value).alias("n"))
-    mean = per.groupBy(channel).agg((F.sum("s") / F.sum("n")).alias("mean"))
-    j = per.join(mean, channel)
-    off = (F.col("q") - 2 * F.col("mean") * F.col("s") + F.col("n") * F.col("mean") * F.col("mean")) / F.col("n")
-    return j.groupBy(channel, "mean").agg(F.sqrt(F.avg(off)).alias("sd"))
+    per = df.groupBy(channel, image).agg(F.sum(value).alias("__s"), F.sum(F.col(value) * F.col(value)).alias("__q"), F.count(value).alias("__n"))
+    mean = per.groupBy(channel).agg((F.sum("__s") / F.sum("__n")).alias("mean"))
+    m = F.col("mean")
+    off = (F.col("__q") - 2 * m * F.col("__s") + F.col("__n") * m * m) / F.col("__n")
+    return per.join(mean, channel).groupBy(channel, "mean").agg(F.sqrt(F.avg(off)).alias("sd"))
 
 
 def windows(df: DataFrame, height: str, width: str, size: int, stride: int) -> DataFrame:

@@ -131,10 +131,10 @@ def lagged_correlation(df: DataFrame, series: str, t: str, a: str, b: str, lags:
     centred = F.col(b) - F.col("__m1")
     sums = [F.sum((F.col(f"__a{k}") - F.col("__m0")) * centred).alias(f"__s{k}") for k in lags] + [F.count(f"__a{k}").alias(f"__n{k}") for k in lags]
     per = wide.groupBy(series, "__v0", "__v1").agg(*sums)
-    cells = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"__s{k}").alias("s"), F.col(f"__n{k}").alias("n")) for k in lags])
-    cell = per.select(series, "__v0", "__v1", F.inline(cells)).where("n > 0")
+    cells = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), F.col(f"__s{k}").alias("__sum"), F.col(f"__n{k}").alias("__n")) for k in lags])
+    cell = per.select(series, "__v0", "__v1", F.inline(cells)).where("__n > 0")
     flat = (F.col("__v0") < 1e-12) | (F.col("__v1") < 1e-12)
-    return cell.select(series, "lag", F.when(flat, 0.0).otherwise(F.col("s") / F.sqrt(F.col("__v0") * F.col("__v1")) / F.col("n")).alias("corr"))
+    return cell.select(series, "lag", F.when(flat, 0.0).otherwise(F.col("__sum") / F.sqrt(F.col("__v0") * F.col("__v1")) / F.col("__n")).alias("corr"))
 
 
 def episodes(df: DataFrame, series: str, t: str, length: int, episode: str = "episode_id") -> DataFrame:

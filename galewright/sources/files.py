@@ -20,17 +20,18 @@ def header_of(spark: SparkSession, path: str, separator: str = ",") -> list[str]
     return [c.strip() for c in lines[0][0].replace("\r", "").split(separator)]
 
 
-def read_series(spark: SparkSession, path: str, columns: Sequence[str], keep_text: Sequence[str] = ()) -> DataFrame:
+def read_series(spark: SparkSession, path: str, columns: Sequence[str], keep_text: Sequence[str] = (), strict: bool = True) -> DataFrame:
     """Named columns of one CSV file as doubles, in the order given, with ``row_no`` of the file from 0.
 
-    Columns go by name; unasked ones aren't parsed. Blank lines and lines that start with # are skipped, an empty cell is null, a cell that is no
+    Columns go by name. With ``strict`` every line is checked whole; without it unasked columns aren't parsed. Blank lines and lines that start with # are skipped, an empty cell is null, a cell that is no
     number or a line of another length is an error, and so are a missing column and a file without header.
     """
     names = header_of(spark, path)
     if missing := [c for c in [*columns, *keep_text] if c not in names]:
         raise ValueError(f"{path} lacks {missing}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(path, schema=schema, header=True, comment="#", mode="FAILFAST", enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    reader = spark.read.schema(schema).option("columnPruning", str(not strict).lower()).options(header=True, comment="#", mode="FAILFAST", enforceSchema=False, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    raw = reader.csv(path)
     clean = lambda c: F.nullif(F.regexp_replace(F.col(f"`{c}`"), "\r", ""), F.lit(""))
     return raw.select(*[clean(c).cast("double").alias(c) for c in columns], *[clean(c).alias(c) for c in keep_text], F.monotonically_increasing_id().alias("row_no"))
 
