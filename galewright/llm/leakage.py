@@ -213,11 +213,11 @@ class Searcher:
 
     def pieces(self, item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
         """Up to two aligned pieces of the item as (matched words, from, to), each of ``piece`` words and more."""
-        out = []
+        out, least = [], len(item)
         item = item.copy()
         for _ in range(2):
             matched, a, z, b, e = align(item, doc)
-            if z - a < self.piece:
+            if z - a < min(self.piece, least):
                 break
             out.append((matched, a, z))
             item[a:z] = 0
@@ -266,7 +266,7 @@ class Searcher:
         for a, z in zip(cut[:-1], cut[1:]):
             d, i = hits[a, 0], hits[a, 1]
             covered = np.unique((hits[a:z, 3][:, None] + np.arange(self.phrase)).ravel())
-            if len(covered) < self.seeds or not hits[a:z, 4].any():
+            if len(covered) < min(self.seeds, len(self.items[i])) or not hits[a:z, 4].any():
                 continue
             for spot in self.spans(hits[a:z, 2], len(docs[d]), len(self.items[i])):
                 if self.leaked(self.pieces(self.items[i], docs[d][spot[0] : spot[1]]), len(self.items[i])):
@@ -299,8 +299,8 @@ def leaked_items(
 
     Case, marks, blanks, tags, lookalike letters, line-break hyphens and one-letter slips don't matter; some words may
     be changed, and a passage may be broken in two. The items are a stated query set of bounded size (``most_items``
-    at most, else an error); they are searched in blocks of ``block_items`` against all documents. Items without
-    words find nothing, null and empty texts hold nothing; a document key that stands in several rows comes out for each of them.
+    at most, else an error); they are searched in blocks of ``block_items`` against all documents. Items of
+    under four words find nothing, null and empty texts hold nothing; a document key that stands in several rows comes out for each of them.
     """
     rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).limit(most_items + 1).collect()
     if len(rows) > most_items:
@@ -326,7 +326,7 @@ def leaked_items(
                     if not isinstance(t, str) or not t:
                         continue
                     ids = searcher.vocabulary.encode(words_of(t))
-                    if (ids > 0).sum() < min(searcher.piece, searcher.phrase):
+                    if (ids > 0).sum() < searcher.phrase:
                         continue
                     keys.append(k), docs.append(ids)
                     size += len(ids)

@@ -24,7 +24,7 @@ WHOLE = r"[.!?\u3002\uff01\uff1f][\"\u201d\u2019\u00bb\\)\\]*_]*(?:[ \\t]*(?:\\(
 # Words keep their marks; digits count as 0; a line end is the word of a pilcrow, the text's end that of a black box.
 _WORDS = r"""
   SELECT key, source, xxhash64(core) AS body, rlike(core, '<whole>') OR rlike(core, '```$') OR rlike(core, '(^|[\\r\\n])[ \\t]*[|][^\\r\\n]*[|]$') AS whole, rlike(tail, '(?i)<omission>$') AS omitted, size(split(core, '```')) % 2 = 0 AS open_code,
-    concat(array('¶', '¶', '¶', '¶'),
+    concat(array('¶', '¶', '¶', '¶', '¶'),
       filter(split(regexp_replace(regexp_replace(lower(core), '[0-9]', '0'), '[ \\t\\u00a0]*[\\r\\n\\u2028\\u2029]+', ' ¶ '), '[ \\t\\u00a0]+'), x -> x <> ''),
       array('∎')) AS w
   FROM (SELECT *, regexp_replace(regexp_replace(tail, '(?i)<omission>$', ''), '<blank>+$', '') AS core
@@ -66,7 +66,8 @@ evidence AS (
   FROM finals f LEFT JOIN counts c ON f.gram = c.gram
   GROUP BY key, source, body, omitted, open_code, whole, number_stop)
 SELECT key, source, omitted, open_code, whole, inside, ended, bare, bare_texts, pair, line_goes_on, line_ends, line_texts, decimals, wholes,
-  CASE WHEN open_code THEN true
+  CASE WHEN inside IS NULL THEN false  -- nothing but a mark of omission
+    WHEN open_code THEN true
     WHEN number_stop AND decimals >= 5 AND decimals >= 5 * (wholes - 1) THEN true
     WHEN whole THEN false
     WHEN omitted THEN NOT (ended >= 2 AND ended >= 0.25 * inside)
