@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galewright.operators.prefix import key_bucket, running
+
 # Kernels
 
 
@@ -147,8 +149,8 @@ def crop_box(y: Column, x: Column, radius: int, height: Column, width: Column) -
 def locate_subimages(images: DataFrame, image: str, n_y: str, n_x: str, wanted: DataFrame, index: str) -> DataFrame:
     """(index, image, sub_y, sub_x) of global sub-image numbers: images in order have n_y * n_x each. The running counts
     are bucketed, so that the range lookup is an equality on buckets."""
-    w = Window.orderBy(image).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = images.select(image, n_y, n_x, (F.col(n_y) * F.col(n_x)).cast("bigint").alias("__n")).withColumn("__end", F.sum("__n").over(w)).withColumn("__start", F.col("__end") - F.col("__n")).where("__n > 0")
+    counted = images.select(image, n_y, n_x, (F.col(n_y) * F.col(n_x)).cast("bigint").alias("__n"), F.lit(1).alias("__all"))
+    sized = running(counted, ["__all"], [image], key_bucket(images, image), F.col("__n"), "__end").withColumn("__start", F.col("__end") - F.col("__n")).where("__n > 0")
     step = 1024
     spread = sized.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__start") / step), F.floor((F.col("__end") - 1) / step))))
     asked = wanted.select(index).withColumn("__b", F.floor(F.col(index) / step))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galewright.operators.prefix import running
+from galewright.operators.series import neighbours
+
 
 def episode_errors(df: DataFrame, episode: str, output: str, expected: str, predicted: str) -> DataFrame:
     """Per episode: mse and mae as the sum over outputs of the mean over time."""
@@ -44,10 +47,9 @@ def running_wins(df: DataFrame, generation: str, winner: str = "winner") -> Data
     return df.select(generation, winner, count("naive").alias("naive_wins"), count("model").alias("model_wins"))
 
 
-def running_best(df: DataFrame, group: str, order: Sequence[str], value: str) -> DataFrame:
-    """The least value so far."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn("best_so_far", F.min(value).over(w))
+def running_best(df: DataFrame, group: str, order: Sequence[str], value: str, bucket: Column) -> DataFrame:
+    """The least value so far; ``bucket`` rises with the order."""
+    return running(df, [group], list(order), bucket, F.col(value), "best_so_far", "min")
 
 
 def track(df: DataFrame, keys: Sequence[str], values: Sequence[str], against: str | None = None) -> DataFrame:
@@ -69,18 +71,18 @@ def deviation_ranks(groups: DataFrame, output: str, run_type: str, value: str) -
     return means.withColumn("place", F.rank().over(Window.orderBy(F.round("mean_z", 9))).cast("bigint"))
 
 
-def merge_runs(df: DataFrame, run: str, order: Sequence[str], value: str) -> DataFrame:
-    """Runs laid side by side by row number and clipped to the shortest one: min, avg, max of each row."""
-    rows = df.withColumn("row_no", F.row_number().over(Window.partitionBy(run).orderBy(*order)).cast("bigint"))
-    shortest = rows.groupBy(run).agg(F.max("row_no").alias("__n")).agg(F.min("__n").alias("__n"))
+def merge_runs(df: DataFrame, run: str, order: Sequence[str], value: str, bucket: Column) -> DataFrame:
+    """Runs laid side by side by row number and clipped to the shortest one: min, avg, max of each row. ``bucket`` rises
+    with the order."""
+    rows = running(df, [run], list(order), bucket, F.lit(1), "row_no").withColumn("row_no", F.col("row_no").cast("bigint"))
+    shortest = df.groupBy(run).agg(F.count("*").alias("__n")).agg(F.min("__n").alias("__n"))
     kept = rows.crossJoin(F.broadcast(shortest)).where(F.col("row_no") <= F.col("__n"))  # one row
     return kept.groupBy("row_no").agg(F.min(value).alias("min_value"), F.avg(value).alias("avg_value"), F.max(value).alias("max_value"), F.count("*").alias("n_runs"))
 
 
-def skips(df: DataFrame, group: str, order: str, seconds: Column) -> DataFrame:
-    """Gaps between neighbouring times: min, avg, max and median per group."""
-    w = Window.partitionBy(group).orderBy(order)
-    gaps = df.withColumn("__at", seconds).withColumn("gap", F.col("__at") - F.lag("__at").over(w)).where("gap IS NOT NULL")
+def skips(df: DataFrame, group: str, t: str, seconds: str) -> DataFrame:
+    """Gaps between the times of rows that follow each other by ``t``: min, avg, max and median per group."""
+    gaps = neighbours(df.select(group, t, seconds), group, t, {"__before": (seconds, -1)}).withColumn("gap", F.col(seconds) - F.col("__before")).where("gap IS NOT NULL")
     return gaps.groupBy(group).agg(F.min("gap").alias("min_gap"), F.avg("gap").alias("avg_gap"), F.max("gap").alias("max_gap"), F.median("gap").alias("median_gap"))
 
 
@@ -91,8 +93,6 @@ def without_sentinel(value: str, sentinel: float) -> tuple[Column, Column, Colum
 
 def prediction_frame(df: DataFrame, series: str, t: str, expected: str, predicted: str) -> DataFrame:
     """Expected value, naive forecast and prediction from the second row on."""
-    from galewright.operators.series import neighbours
-
     out = neighbours(df.select(series, t, expected, predicted), series, t, {"naive": (expected, -1)}).where(F.col("naive").isNotNull())
     return out.select(series, t, F.col(expected).alias("expected"), "naive", F.col(predicted).alias("predicted"))
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galewright.operators.prefix import running
+
 
 def merge_by_key(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Full outer merge of two lists by key: ``{c}_1``, ``{c}_2`` and ``origin`` (both, first, second)."""
@@ -26,19 +28,19 @@ def with_partner(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(other.select(*on), list(on), "left_semi")
 
 
-def outpaced(df: DataFrame, group: str, row_id: str, cost: str, factor: float = 4.0) -> DataFrame:
-    """Rows that cost more than ``factor`` times another row of their group, with the number of such rows.
+def outpaced(df: DataFrame, group: str, row_id: str, cost: str, factor: float = 4.0, width: float = 10_000.0) -> DataFrame:
+    """Rows that cost more than ``factor`` times another row of their group, with the number of such rows. Costs are not negative.
 
     Not a join of a group with itself: the cheaper rows of a group are a prefix of its costs in order, so each row counts
-    them by a running count over the costs and the costs times the factor.
+    them by a running count over the costs and the costs times the factor, in buckets of ``width``.
     """
     own = df.where(f"`{group}` IS NOT NULL AND `{cost}` IS NOT NULL").select(group, row_id, F.col(cost).cast("double").alias("__c"))
-    marks = own.select(group, F.col("__c").alias("__cost"), F.explode(F.array(F.struct((F.col("__c") * factor).alias("at"), F.lit(1).alias("is_mark"), F.lit(None).cast(dict(own.dtypes)[row_id]).alias("id")),
-                       F.struct(F.col("__c").alias("at"), F.lit(0).alias("is_mark"), F.col(row_id).alias("id")))).alias("x"))
+    none = F.lit(None).cast(dict(own.dtypes)[row_id])
+    mark, row = F.struct((F.col("__c") * factor).alias("__at"), F.lit(1).alias("__mark"), none.alias("__id")), F.struct(F.col("__c").alias("__at"), F.lit(0).alias("__mark"), F.col(row_id).alias("__id"))
+    both = own.select(group, F.col("__c").alias("__cost"), F.inline(F.array(mark, row)))
     # At equal places rows come before marks, because the cost must be more than the factor's multiple.
-    w = Window.partitionBy(group).orderBy(F.col("x.at"), F.col("x.is_mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counted = marks.withColumn("n_cheaper", F.sum("x.is_mark").over(w)).where("x.is_mark = 0 AND n_cheaper > 0")
-    return counted.select(group, F.col("x.id").alias(row_id), F.col("__cost").alias(cost), F.col("n_cheaper").cast("bigint").alias("n_cheaper"))
+    counted = running(both, [group], ["__at", "__mark"], F.floor(F.col("__at") / width), F.col("__mark"), "n_cheaper").where("__mark = 0 AND n_cheaper > 0")
+    return counted.select(group, F.col("__id").alias(row_id), F.col("__cost").alias(cost), F.col("n_cheaper").cast("bigint").alias("n_cheaper"))
 
 
 def top_rows(df: DataFrame, group: str, order: Sequence[Column], n: int, rank: str = "place") -> DataFrame:
@@ -101,15 +103,19 @@ def set_distance(pairs: DataFrame, a: str, b: str) -> DataFrame:
 def shared_fitness(df: DataFrame, group: str, row_id: str, position: str, fitness: str, threshold: float) -> DataFrame:
     """Fitness over the number of the group's members within ``threshold`` of a one-dimensional position, itself included.
 
-    Counted by a range frame over the sorted positions; no pairs are made.
+    Counted by a range frame over sorted positions; no pairs are made. Positions are cut into buckets as wide as the
+    threshold, and a bucket borrows its neighbours' rows, so that a large group is spread over its positions.
     """
+    at, span = F.col(position).cast("double"), max(float(threshold), 1e-9)
+    rows = df.select(group, row_id, at.alias("__at"), F.col(fitness).alias("fitness"), F.floor(at / span).alias("__own"))
+    spread = rows.select("*", F.explode(F.array(F.col("__own") - 1, F.col("__own"), F.col("__own") + 1)).alias("__bucket"))
     frame = f"RANGE BETWEEN {float(threshold)}D PRECEDING AND {float(threshold)}D FOLLOWING"
-    near = F.expr(f"count(*) OVER (PARTITION BY `{group}` ORDER BY CAST(`{position}` AS DOUBLE) {frame})")
-    return df.select(group, row_id, F.col(fitness).alias("fitness"), near.alias("n_near"), (F.col(fitness) / near).alias("share"))
+    near = spread.withColumn("n_near", F.expr(f"count(*) OVER (PARTITION BY `{group}`, __bucket ORDER BY __at {frame})")).where("__bucket = __own")
+    return near.select(group, row_id, "fitness", "n_near", (F.col("fitness") / F.col("n_near")).alias("share"))
 
 
 def share_outliers(shared: DataFrame, group: str) -> DataFrame:
     """Members whose share is above mean + 3 * sqrt(sum of squares / (n - 1)) of their group."""
-    w = Window.partitionBy(group)
-    limit = F.avg("share").over(w) + 3 * F.sqrt(F.sum(F.col("share") * F.col("share")).over(w) / F.nullif(F.count("*").over(w) - 1, F.lit(0)))
-    return shared.withColumn("limit", limit).where("share > limit")
+    spread = F.sqrt(F.sum(F.col("share") * F.col("share")) / F.nullif(F.count("*") - 1, F.lit(0)))
+    limits = shared.groupBy(group).agg((F.avg("share") + 3 * spread).alias("limit"))
+    return shared.join(limits, group).where("share > limit")

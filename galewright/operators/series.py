@@ -12,20 +12,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galewright.operators.prefix import key_bucket, running
+
 BLOCK = 1_000_000
 
 
 def number_rows(df: DataFrame, series: str, order: Sequence[str], bucket: Column, t: str = "t") -> DataFrame:
     """``df`` with the row's place in its series, from 0. ``bucket`` must rise with ``order``; ties of ``order`` get an
     arbitrary order, so give columns that make it unique. A column named ``t`` is replaced."""
-    rows = df.drop(t).withColumn("__bucket", bucket)
-    counts = rows.groupBy(series, "__bucket").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(series).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(series).alias("__s"), F.col("__bucket").alias("__b"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
-    same = F.col(series).eqNullSafe(F.col("__s")) & F.col("__bucket").eqNullSafe(F.col("__b"))
-    within = Window.partitionBy(series, "__bucket").orderBy(*order)
-    out = rows.join(starts, same).withColumn(t, (F.col("__start") + F.row_number().over(within) - 1).cast("bigint"))
-    return out.drop("__bucket", "__s", "__b", "__start")
+    counted = running(df.drop(t), [series], list(order), bucket, F.lit(1), t)
+    return counted.withColumn(t, (F.col(t) - 1).cast("bigint"))
 
 
 def neighbours(df: DataFrame, series: str, t: str, columns: dict[str, tuple[str, int]], block: int = BLOCK) -> DataFrame:
@@ -140,9 +136,8 @@ def lagged_correlation(df: DataFrame, series: str, t: str, a: str, b: str, lags:
 def episodes(df: DataFrame, series: str, t: str, length: int, episode: str = "episode_id") -> DataFrame:
     """Rows cut into episodes of ``length``; a series' remainder goes. Ids run on over series and slices."""
     sized = df.groupBy(series).agg((F.floor((F.max(t) + 1) / length)).alias("__slices"))
-    # One row per series: the running count of slices is a small window.
-    before = Window.orderBy(series).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sized.withColumn("__first", F.coalesce(F.sum("__slices").over(before), F.lit(0)))
+    counted = running(sized.withColumn("__all", F.lit(1)), ["__all"], [series], key_bucket(sized, series), F.col("__slices"), "__first").drop("__all")
+    starts = counted.withColumn("__first", F.col("__first") - F.col("__slices"))
     slice_no = F.floor(F.col(t) / length)
     out = df.join(starts, series).where(slice_no < F.col("__slices"))
     return out.withColumn(episode, (F.col("__first") + slice_no).cast("bigint")).withColumn("step", (F.col(t) - slice_no * length).cast("bigint")).drop("__slices", "__first")

@@ -202,7 +202,7 @@ def running_wins(spark, d):
 
 
 def running_best(spark, d):
-    x = M.running_best(events(spark, d), "user_id", ["t"], "value")
+    x = M.running_best(events(spark, d), "user_id", ["t"], "value", F.floor(F.col("t") / S.BLOCK))
     return x.select("user_id", "t", r("best_so_far").alias("best_so_far"))
 
 
@@ -234,12 +234,13 @@ def delayed_sum(spark, d):
 
 
 def skip_stats(spark, d):
-    x = M.skips(table(spark, d, "events"), "user_id", "ts", _seconds("ts"))
+    e = S.number_rows(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.to_date("ts")).withColumn("s", _seconds("ts"))
+    x = M.skips(e, "user_id", "t", "s")
     return x.select("user_id", F.col("min_gap").cast("bigint").alias("min_gap"), r("avg_gap").alias("avg_gap"), F.col("max_gap").cast("bigint").alias("max_gap"), r("median_gap").alias("median_gap"))
 
 
 def merge_runs_clipped(spark, d):
-    x = M.merge_runs(table(spark, d, "events"), "event_type", ["ts", "event_id"], "value")
+    x = M.merge_runs(table(spark, d, "events"), "event_type", ["ts", "event_id"], "value", F.to_date("ts"))
     return x.select("row_no", r("min_value").alias("min_value"), r("avg_value").alias("avg_value"), r("max_value").alias("max_value"), "n_runs")
 
 
