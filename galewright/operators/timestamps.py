@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galewright.session import epoch_seconds
+
 # English month abbreviations in calendar order and zone names with their offset in minutes.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 ZONES = {"z": 0, "utc": 0, "gmt": 0, "wet": 0, "west": 60, "bst": 60, "cet": 60, "cest": 120, "eet": 120, "eest": 180}
@@ -87,12 +89,7 @@ def with_instant(df: DataFrame, text: str, out: str = "utc_s", zone: str = "Euro
     Dates with slashes or dots are day first, with AM/PM month first; bare numbers of 9 to 11 digits are seconds, of 12
     to 14 milliseconds. Every row comes back once, with its own columns; a column named ``out`` is replaced.
     """
-    if received is None:
-        limit = F.lit(None).cast("bigint")
-    elif dict(df.dtypes)[received] == "timestamp_ntz":
-        limit = F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{received}`)")
-    else:
-        limit = F.unix_seconds(F.col(received).cast("timestamp"))
+    limit = F.lit(None).cast("bigint") if received is None else epoch_seconds(df, received)
     p = "__gw_ts_"
     raw = F.regexp_replace(F.col(text).cast("string"), F.lit(PATTERN), F.lit(_REPLACEMENT))
     parts = df.withColumn(p + "p", F.split(F.when(raw.startswith(_MARK), F.substring(raw, 2, 200)), r"\|"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from galewright.operators.spikes import Field, implausible_values
 from galewright.operators.orphans import Reference, orphan_references, report_per_month
 from galewright.operators.timestamps import with_instant
 from galewright.operators.topn import top_n_per_group
-from galewright.session import table
+from galewright.session import epoch_seconds, table
 
 NAME = "wind_turbine_name"
 #: What the sensors can read at all: degrees, degrees Celsius, kilovar.
@@ -40,7 +42,7 @@ def named_readings(df: DataFrame) -> DataFrame:
 def filled_readings(df: DataFrame) -> DataFrame:
     """The readings with names, pitch angle, hub temperature and reactive power filled and marked."""
     timed = with_instant(named_readings(df), "date_time", "__utc", received="received_at")
-    at = F.coalesce(F.col("__utc"), F.unix_seconds(F.col("received_at").cast("timestamp")))
+    at = F.coalesce(F.col("__utc"), epoch_seconds(timed, "received_at"))
     keyed = timed.withColumns({"__hour": F.floor(at / 3600), "__day": F.floor(at / 86400)})
     levels = [[NAME, "__hour"], [NAME, "__day"], [NAME], ["__day"], []]
     return fill_numbers(keyed, LIMITS, levels).drop("__utc", "__hour", "__day")
@@ -50,7 +52,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = sorted({f.name for f in CHECKED} | {c for f in CHECKED for c in f.companion})
     df = table(spark, sf_dir, "turbine_readings").select("rec_id", NAME, "date_time", "received_at", "source_file", *signals)
     timed = with_instant(named_readings(df), "date_time", "__utc", received="received_at")
-    arrived = timed.withColumn("__arrived", F.unix_seconds(F.col("received_at").cast("timestamp")) - 300)
+    arrived = timed.withColumn("__arrived", epoch_seconds(timed, "received_at") - 300)
     return implausible_values(arrived, "rec_id", NAME, "__utc", CHECKED, "__arrived")
 
 
@@ -131,7 +133,39 @@ _ORPHANS = " UNION ALL ".join(
 
 _NUMBER_MISSING = "({c} IS NULL OR isnan({c}) OR {c} IN (-9999.0, -999.99, -999.0, 9999.0, 32767.0))"
 
+_CLOCK = r"(?P<h>\d{1,2}):(?P<n>\d{2})(?::(?P<s>\d{2})(?:\.\d+)?)?"
+
+
+def _format_sql(pattern: str, zone: str, month: str = "x.m", hour: str = "TRY_CAST(x.h AS INT)") -> str:
+    """Rows of one format: the wall clock and its offset in minutes (null without zone)."""
+    named = re.findall(r"\?P<(\w+)>", pattern)
+    plain = re.sub(r"\?P<\w+>", "", pattern)
+    text = f"concat_ws('-', x.y, {month}, x.d) || ' ' || concat_ws(':', {hour}, x.n, coalesce(nullif(x.s, ''), '00'))"
+    return f"""SELECT rec_id, r, try_strptime({text}, '%Y-%m-%d %H:%M:%S') AS w, {zone} AS z
+    FROM (SELECT rec_id, r, regexp_extract(t, '^{plain}$', {named}) AS x FROM src WHERE regexp_full_match(t, '{plain}'))"""
+
+
+_SIGNED = "CASE WHEN x.z IN ('', 'Z', 'UTC') THEN CASE WHEN x.z <> '' THEN 0 END ELSE (CASE WHEN x.z[1] = '-' THEN -1 ELSE 1 END) * (TRY_CAST(x.z[2:3] AS INT) * 60 + TRY_CAST(right(x.z, 2) AS INT)) END"
+_MONTH = "lpad(CAST((position(x.m IN 'JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC') + 2) // 3 AS VARCHAR), 2, '0')"
+# The European rule: summer time from the last Sunday of March to that of October, 01:00 UTC.
+_INSTANTS = "src AS (SELECT rec_id, epoch(received_at) AS r, upper(trim(date_time, ' ' || chr(9))) AS t FROM turbine_readings), wall AS (" + " UNION ALL ".join(
+    [
+        _format_sql(r"(?P<y>\d{4})-(?P<m>\d{2})-(?P<d>\d{2})[T ]" + _CLOCK + r" ?(?P<z>Z|UTC|[+-]\d{2}:?\d{2})?", _SIGNED),
+        _format_sql(r"(?P<y>\d{4})(?P<m>\d{2})(?P<d>\d{2})T(?P<h>\d{2})(?P<n>\d{2})(?P<s>\d{2})(?P<z>[+-]\d{4})", _SIGNED),
+        _format_sql(r"(?P<m>\d{2})/(?P<d>\d{2})/(?P<y>\d{4}) " + _CLOCK + r" (?P<a>[AP])M", "NULL", hour="TRY_CAST(x.h AS INT) % 12 + CASE WHEN x.a = 'P' THEN 12 ELSE 0 END"),
+        _format_sql(r"(?P<d>\d{2})[./](?P<m>\d{2})[./](?P<y>\d{4}) " + _CLOCK, "NULL"),
+        _format_sql(r"(?P<d>\d{2})-(?P<m>[A-Z]{3})-(?P<y>\d{4}) " + _CLOCK + r" (?P<z>CES?T)", "CASE WHEN x.z = 'CET' THEN 60 ELSE 120 END", month=_MONTH),
+    ]
+) + """), turns AS (SELECT rec_id, r, z, CAST(epoch(w) AS BIGINT) AS l, CAST(epoch(make_date(year(w), 3, 31) - CAST(dayofweek(make_date(year(w), 3, 31)) AS INT)) AS BIGINT) + 3600 AS a,
+CAST(epoch(make_date(year(w), 10, 31) - CAST(dayofweek(make_date(year(w), 10, 31)) AS INT)) AS BIGINT) + 3600 AS b FROM wall WHERE w IS NOT NULL),
+instants AS (SELECT rec_id, l - z * 60 AS utc_s FROM turns WHERE z IS NOT NULL
+UNION ALL SELECT rec_id, CASE WHEN (l - 3600 < a OR l - 3600 >= b) AND (l - 3600 <= r OR NOT (l - 7200 >= a AND l - 7200 < b)) THEN l - 3600 WHEN l - 7200 >= a AND l - 7200 < b THEN l - 7200 END FROM turns WHERE z IS NULL
+UNION ALL SELECT rec_id, TRY_CAST(t AS BIGINT) // CASE WHEN length(t) > 11 THEN 1000 ELSE 1 END FROM src WHERE regexp_full_match(t, '\\d{9,14}'))"""
+
 ORACLES = {
+    "p5_found": f"WITH {_INSTANTS} SELECT rec_id, utc_s FROM instants WHERE utc_s IS NOT NULL",
+    "p6_found": f"""WITH {_INSTANTS}, f AS (SELECT DISTINCT regexp_extract(source_file, 'turbine_([^_]+)_', 1) AS wind_turbine_name, utc_s - utc_s % 600 AS slot_s FROM instants JOIN turbine_readings USING (rec_id) WHERE utc_s IS NOT NULL),
+    g AS (SELECT wind_turbine_name, unnest(range(min(slot_s), max(slot_s) + 1, 600)) AS slot_s FROM f GROUP BY wind_turbine_name) SELECT * FROM g ANTI JOIN f USING (wind_turbine_name, slot_s)""",
     "p2_found": f"SELECT DISTINCT table_name, row_id, ref_field FROM ({_ORPHANS})",
     "p2_report": f"SELECT table_name, ref_field, month, count(DISTINCT row_id) AS n_rows FROM ({_ORPHANS}) GROUP BY ALL",
     "p3_found": " UNION ALL ".join([f"SELECT rec_id, '{c}' AS field FROM turbine_readings WHERE {_NUMBER_MISSING.format(c=c)}" for c in LIMITS]

@@ -224,8 +224,8 @@ def fitness_share(spark, d):
 
 
 def share_outliers(spark, d):
-    p = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_size") * F.col("p_size")).cast("double").alias("pos"), "p_retailprice")
-    return R.share_outliers(R.shared_fitness(p, "p_brand", "p_partkey", "pos", "p_retailprice", 3.0), "p_brand").select("p_partkey", r("share").alias("share"))
+    p = table(spark, d, "part").select("p_brand", "p_partkey", (F.col("p_size") * F.col("p_size")).cast("double").alias("pos"), F.pow("p_size", F.lit(12.0)).alias("fitness"))
+    return R.share_outliers(R.shared_fitness(p, "p_brand", "p_partkey", "pos", "fitness", 3.0), "p_brand").select("p_partkey", r(F.col("share") / 1e12).alias("share"))
 
 
 def set_operations(spark, d):
@@ -400,7 +400,7 @@ CASE WHEN a.exact_id IS NULL THEN 'second' WHEN b.exact_id IS NULL THEN 'first'
 _ORD = "SELECT o_custkey, round(o_totalprice, 2) AS price, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL"
 _BIG = "SELECT o_orderkey FROM orders WHERE o_totalprice > 250000"
 _URG = "SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'"
-_SH = "SELECT a.p_brand, a.p_partkey, count(*) AS n_near, any_value(a.p_retailprice) / count(*) AS share FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs({p} - {q}) <= 3 GROUP BY a.p_brand, a.p_partkey"
+_SH = "SELECT a.p_brand, a.p_partkey, count(*) AS n_near, any_value({f}) / count(*) AS share FROM part a JOIN part b ON a.p_brand = b.p_brand AND abs({p} - {q}) <= 3 GROUP BY a.p_brand, a.p_partkey"
 _ST = "st AS (SELECT o_orderkey AS episode_id, max(o_totalprice) / 100000 AS mse FROM orders GROUP BY o_orderkey)"
 _PR = "exp(-0.01::DOUBLE * ({g} - episode_id / 100)) / (mse + 1e-8)"
 _TK = r"""tk AS (SELECT doc_id, unnest(list_concat(list_filter(string_split(regexp_replace(regexp_replace(coalesce(text, ''), '^ +| +$', '', 'g'), ' +', ' ', 'g'), ' '), lambda x: x <> ''), ['<eos>'])) AS token,
@@ -457,8 +457,8 @@ ORACLES = {
     p AS (SELECT *, lag(a) OVER (PARTITION BY exact_id ORDER BY genome_id) AS b FROM l), q AS (SELECT exact_id, genome_id, list_filter(a, lambda x: NOT list_contains(b, x)) AS oa, list_filter(b, lambda x: NOT list_contains(a, x)) AS ob, a, b FROM p WHERE b IS NOT NULL),
     s AS (SELECT exact_id, genome_id, len(list_filter(oa, lambda x: x > list_max(b))) + len(list_filter(ob, lambda x: x > list_max(a))) AS excess, len(oa) + len(ob) AS alone, len(list_distinct(list_concat(a, b))) AS n_union FROM q)
     SELECT exact_id, genome_id, excess, alone - excess AS disjoint, n_union FROM s""",
-    "fitness_share": "SELECT p_partkey, n_near, round(share, 6) AS share FROM (" + _SH.format(p="a.p_size", q="b.p_size") + ")",
-    "share_outliers": "WITH s AS (" + _SH.format(p="a.p_size * a.p_size", q="b.p_size * b.p_size") + "), l AS (SELECT *, avg(share) OVER w + 3 * sqrt(sum(share * share) OVER w / nullif(count(*) OVER w - 1, 0)) AS lim FROM s WINDOW w AS (PARTITION BY p_brand)) SELECT p_partkey, round(share, 6) AS share FROM l WHERE l.share > lim",
+    "fitness_share": "SELECT p_partkey, n_near, round(share, 6) AS share FROM (" + _SH.format(p="a.p_size", q="b.p_size", f="a.p_retailprice") + ")",
+    "share_outliers": "WITH s AS (" + _SH.format(p="a.p_size * a.p_size", q="b.p_size * b.p_size", f="pow(a.p_size, 12.0::DOUBLE)") + "), l AS (SELECT *, avg(share) OVER w + 3 * sqrt(sum(share * share) OVER w / nullif(count(*) OVER w - 1, 0)) AS lim FROM s WINDOW w AS (PARTITION BY p_brand)) SELECT p_partkey, round(share / 1e12, 6) AS share FROM l WHERE l.share > lim",
     "set_operations": """WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase' AND value > 60)
     SELECT 'union' AS op, user_id FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', user_id FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', user_id FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
     "transfer_names": "SELECT n_name AS name, CASE WHEN n_regionkey IN (1, 2) THEN 'kept' WHEN n_regionkey = 0 THEN 'removed' ELSE 'new' END AS fate FROM nation WHERE n_regionkey IN (0, 1, 2, 3)",

@@ -60,3 +60,10 @@ def as_double(name: str):
     """The column as a double with NaN turned to null."""
     c = F.col(name).cast("double")
     return F.when(~F.isnan(c), c)
+
+
+def epoch_seconds(df: DataFrame, name: str):
+    """Whole seconds since 1970 UTC of a timestamp column; one without zone holds UTC, whatever the session's zone."""
+    if dict(df.dtypes)[name] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
+    return F.unix_seconds(F.col(name).cast("timestamp"))
