@@ -16,16 +16,18 @@ BLANKS = r"[\\s\\u00a0\\u200b\\u200e\\u200f\\u2028\\u2029\\ufeff]"
 OMISSION = r"(?:\\u2026|\\.\\.\\.+|[\\[(<](?:\\u2026|\\.\\.\\.+|cut|snip|more|truncated|continued|cont\\.?)[\\])>])"
 
 #: What ends a sentence, with quotes and brackets that may follow.
-MARK = r"[.!?\u3002\uff01\uff1f]+[\"\u201d\u2019\u00bb\\)\\]*_]*$"
+MARK = r"[.!?\u3002\uff01\uff1f]+[\"\u201d\u2019\u00bb\\)\\]*_]*"
 
 #: A whole ending: the end of a sentence, and after it only bracketed remarks, tags, emoticons and the like.
 WHOLE = r"[.!?\u3002\uff01\uff1f][\"\u201d\u2019\u00bb\\)\\]*_]*(?:[ \\t]*(?:\\([^()\\n]*\\)|\\[[^\\[\\]\\n]*\\]|</[a-zA-Z0-9]+>|[^\\pL\\pN\\s]+))*$"
 
-# Words keep their marks; digits count as 0; a line end is the word of a pilcrow, the text's end that of a black box.
+# Words end in one control character if a sentence ends there; digits count as 0; a line end is the word of a pilcrow, the
+# text's end that of a black box. Marks are set once per text, so that no word meets a regular expression.
 _WORDS = r"""
-  SELECT key, source, xxhash64(core) AS body, rlike(core, '<whole>') OR rlike(core, '```$') OR rlike(core, '(^|[\\r\\n])[ \\t]*[|][^\\r\\n]*[|]$') AS whole, rlike(tail, '(?i)<omission>$') AS omitted, size(split(core, '```')) % 2 = 0 AS open_code,
+  SELECT key, source, xxhash64(core) AS body, rlike(core, '<whole>') OR rlike(core, '```$') OR rlike(core, '(^|[\\r\\n])[ \\t]*[|][^\\r\\n]*[|]$') AS whole,
+    rlike(tail, '(?i)<omission>$') AS omitted, size(split(core, '```')) % 2 = 0 AS open_code,
     concat(array('¶', '¶', '¶', '¶', '¶'),
-      filter(split(regexp_replace(regexp_replace(lower(core), '[0-9]', '0'), '[ \\t\\u00a0]*[\\r\\n\\u2028\\u2029]+', ' ¶ '), '[ \\t\\u00a0]+'), x -> x <> ''),
+      array_remove(split(regexp_replace(regexp_replace(translate(lower(core), '123456789', '000000000'), '<mark>(?=[\\s\\u00a0\\u2028\\u2029]|$)', '\u0001'), '[ \\t\\u00a0]*[\\r\\n\\u2028\\u2029]+', ' ¶ '), '[ \\t\\u00a0]+'), ''),
       array('∎')) AS w
   FROM (SELECT *, regexp_replace(regexp_replace(tail, '(?i)<omission>$', ''), '<blank>+$', '') AS core
     FROM (SELECT key, source, regexp_replace(body, '<blank>+$', '') AS tail FROM {texts})
@@ -34,29 +36,32 @@ _WORDS = r"""
 SQL = r"""
 WITH words AS (<words>),
 grams AS (
-  SELECT body, a, b, regexp_replace(c, '<mark>', '') AS c, rlike(c, '<mark>') AS marked, d IN ('¶', '∎') AS last,
-    rlike(c, '^0') AS number, rlike(c, '^0+[.,]0') AS decimal, z, p = '¶' OR z = '¶' AS starts
+  SELECT body, a, b, rtrim('\u0001', c) AS c, endswith(c, '\u0001') AS marked, d = '¶' OR d = '∎' AS last, startswith(c, '0') AS number, z, p = '¶' OR z = '¶' AS starts
   FROM words LATERAL VIEW inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)), slice(w, 5, size(w)), slice(w, 6, size(w)))) x AS p, z, a, b, c, d
   WHERE d IS NOT NULL AND c <> '¶'),
 -- Counted are trigrams, the first four-grams of lines, pairs by all that follows them, and places before numbers, where
 -- decimals count as inside and whole numbers as ended.
 events AS (
-  SELECT body, inline(filter(array(
+  SELECT body, gram, inside, ended, bare FROM grams LATERAL VIEW inline(array(
     named_struct('gram', xxhash64(a, b, c), 'inside', NOT marked AND NOT last, 'ended', marked, 'bare', NOT marked AND last),
     named_struct('gram', xxhash64(a, b), 'inside', true, 'ended', false, 'bare', false),
     named_struct('gram', CASE WHEN starts THEN xxhash64(z, a, b, c) END, 'inside', NOT marked AND NOT last, 'ended', marked, 'bare', NOT marked AND last),
-    named_struct('gram', CASE WHEN number THEN xxhash64(a, b, '#') END, 'inside', decimal, 'ended', NOT decimal, 'bare', false)), e -> e.gram IS NOT NULL)) FROM grams),
+    named_struct('gram', CASE WHEN number THEN xxhash64(a, b, '#') END, 'inside', number AND rlike(c, '^0+[.,]0'), 'ended', NOT (number AND rlike(c, '^0+[.,]0')), 'bare', false))) x AS gram, inside, ended, bare
+  WHERE gram IS NOT NULL),
 -- Copies of one text are no evidence for each other: a bitmap of text hashes tells up to 64 different texts apart.
 counts AS (
   SELECT gram, count_if(inside) AS inside, count_if(ended) AS ended, count_if(bare) AS bare,
     bit_count(bit_or(CASE WHEN bare THEN shiftleft(1L, CAST(pmod(body, 64) AS int)) ELSE 0L END)) AS texts
   FROM events GROUP BY gram),
 finals AS (
-  SELECT key, source, body, omitted, open_code, whole, rlike(c, '^0+\\.$') AS number_stop, inline(filter(array(
+  SELECT key, source, body, omitted, open_code, whole, number_stop, kind, gram FROM (
+    SELECT *, rtrim('\u0001', last_word) AS e, rlike(last_word, '^0+\u0001$') AS number_stop
+    FROM (SELECT *, w[size(w) - 6] AS p, w[size(w) - 5] AS z, w[size(w) - 4] AS a, w[size(w) - 3] AS b, w[size(w) - 2] AS last_word FROM words))
+  LATERAL VIEW inline(array(
     named_struct('kind', 3, 'gram', xxhash64(a, b, e)), named_struct('kind', 2, 'gram', xxhash64(a, b)),
     named_struct('kind', 4, 'gram', CASE WHEN p = '¶' OR z = '¶' THEN xxhash64(z, a, b, e) END),
-    named_struct('kind', 1, 'gram', CASE WHEN rlike(c, '^0+\\.$') THEN xxhash64(a, b, '#') END)), e -> e.gram IS NOT NULL))
-  FROM (SELECT *, regexp_replace(c, '<mark>', '') AS e FROM (SELECT *, w[size(w) - 6] AS p, w[size(w) - 5] AS z, w[size(w) - 4] AS a, w[size(w) - 3] AS b, w[size(w) - 2] AS c FROM words))),
+    named_struct('kind', 1, 'gram', CASE WHEN number_stop THEN xxhash64(a, b, '#') END))) x AS kind, gram
+  WHERE gram IS NOT NULL),
 evidence AS (
   SELECT key, source, body, omitted, open_code, whole, number_stop,
     max(CASE WHEN kind = 3 THEN c.inside END) AS inside, max(CASE WHEN kind = 3 THEN c.ended END) AS ended, max(CASE WHEN kind = 3 THEN c.bare END) AS bare,
