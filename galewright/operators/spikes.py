@@ -153,7 +153,7 @@ def check_block(pdf: pd.DataFrame, fields: list[Field], window: int, longest: in
 
 def implausible_values(
     df: DataFrame, row_id: str, source: str, instant: str, fields: list[Field], fallback_instant: str | None = None, block_rows: int = 4000,
-    window: int = 11, longest: int = 3, constant: int = 7, alpha: float = 0.01,
+    window: int = 11, longest: int = 3, constant: int = 7, alpha: float = 0.01, extent: DataFrame | None = None,
 ) -> DataFrame:
     """``(row_id, field)`` of every implausible value.
 
@@ -162,14 +162,18 @@ def implausible_values(
     beginning; rows without source form one source. Null and NaN values are never marked. Repeats of a reading (same
     minute and value) count once in the series and are all marked. Sources with fewer than 8 readings get only the
     range and constant-run checks. An empty table gives no rows; further columns are ignored.
+
+    Blocks are sized by each source's rows over its span of time. Where ``instant`` is costly, ``extent`` may be the same
+    rows with ``source``, ``fallback_instant`` and the companions alone: the span is then that of the fallback.
     """
     companions = sorted({c for f in fields for c in f.companion} | {f.name for f in fields})
     own = F.col(instant).cast("bigint")
     at = F.coalesce(own, F.col(fallback_instant).cast("bigint")) if fallback_instant else own
     numbers = [F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in companions]
     rows = df.select(F.col(row_id).alias("__id"), F.col(source).alias("__s"), at.alias("__t"), own.isNotNull().alias("__timed"), *numbers)
+    spans = rows if extent is None else extent.select(F.col(source).alias("__s"), F.col(fallback_instant).cast("bigint").alias("__t"), *numbers)
     full = [F.percentile_approx(F.abs(F.coalesce(*f.companion)), F.lit(0.999), F.lit(2000)).alias(f"__full_{f.name}") for f in fields if f.relative]
-    stats = rows.groupBy("__s").agg(F.count("*").alias("__n"), F.min("__t").alias("__a"), F.max("__t").alias("__b"), *full)
+    stats = spans.groupBy("__s").agg(F.count("*").alias("__n"), F.min("__t").alias("__a"), F.max("__t").alias("__b"), *full)
     joined = rows.join(stats.withColumnRenamed("__s", "__s2"), F.col("__s").eqNullSafe(F.col("__s2"))).drop("__s2")
     length = F.greatest(F.lit(3600.0), (F.col("__b") - F.col("__a") + 1) * F.lit(float(block_rows)) / F.col("__n"))
     place = (F.coalesce(F.col("__t"), F.col("__a"), F.lit(0)) - F.coalesce(F.col("__a"), F.lit(0))) / F.coalesce(length, F.lit(3600.0))

@@ -51,9 +51,10 @@ def filled_readings(df: DataFrame) -> DataFrame:
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     signals = sorted({f.name for f in CHECKED} | {c for f in CHECKED for c in f.companion})
     df = table(spark, sf_dir, "turbine_readings").select("rec_id", NAME, "date_time", "received_at", "source_file", *signals)
-    timed = with_instant(named_readings(df), "date_time", "__utc", received="received_at")
-    arrived = timed.withColumn("__arrived", epoch_seconds(timed, "received_at") - 300)
-    return implausible_values(arrived, "rec_id", NAME, "__utc", CHECKED, "__arrived")
+    named = named_readings(df)
+    named = named.withColumn("__arrived", epoch_seconds(named, "received_at") - 300)
+    timed = with_instant(named, "date_time", "__utc", received="received_at")
+    return implausible_values(timed, "rec_id", NAME, "__utc", CHECKED, "__arrived", extent=named)
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
