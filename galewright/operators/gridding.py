@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galewright.session import cut_lineage
+
 
 def regular_grid(
     df: DataFrame, source: str, instant: str, values: list[str], step: int = 600, bandwidth: int = 1500, min_support: float = 1.5
@@ -30,6 +32,8 @@ def regular_grid(
     rows = df.where(F.col(source).isNotNull() & F.col(instant).isNotNull()).select(
         F.col(source).alias("__s"), F.col(instant).cast("bigint").alias("__t"), *[F.col(v).cast("double").alias(f"__v{i}") for i, v in enumerate(values)]
     )
+    # The grid and the slots read the placed readings twice: from files, not by working them out anew.
+    rows = cut_lineage(rows)
     own = (t - F.pmod(t, F.lit(step))).alias("__own")
     if values:
         spread = rows.select("*", own).select("*", F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("__k"))
