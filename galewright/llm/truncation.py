@@ -23,18 +23,21 @@ WHOLE = r"[.!?\u3002\uff01\uff1f][\"\u201d\u2019\u00bb\\)\\]*_]*(?:[ \\t]*(?:\\(
 
 # Words end in one control character if a sentence ends there; digits count as 0; a line end is the word of a pilcrow, the
 # text's end that of a black box. Marks are set once per text, so that no word meets a regular expression.
-_WORDS = r"""
-  SELECT key, source, xxhash64(core) AS body, rlike(core, '<whole>') OR rlike(core, '```$') OR rlike(core, '(^|[\\r\\n])[ \\t]*[|][^\\r\\n]*[|]$') AS whole,
-    rlike(tail, '(?i)<omission>$') AS omitted, size(split(core, '```')) % 2 = 0 AS open_code,
-    concat(array('¶', '¶', '¶', '¶', '¶'),
-      array_remove(split(regexp_replace(regexp_replace(translate(lower(core), '123456789', '000000000'), '<mark>(?=[\\s\\u00a0\\u2028\\u2029]|$)', '\u0001'), '[ \\t\\u00a0]*[\\r\\n\\u2028\\u2029]+', ' ¶ '), '[ \\t\\u00a0]+'), ''),
-      array('∎')) AS w
-  FROM (SELECT *, regexp_replace(regexp_replace(tail, '(?i)<omission>$', ''), '<blank>+$', '') AS core
-    FROM (SELECT key, source, regexp_replace(body, '<blank>+$', '') AS tail FROM {texts})
-    WHERE tail <> '')"""
+_SPLIT = r"""concat(array('¶', '¶', '¶', '¶', '¶'),
+      array_remove(split(regexp_replace(regexp_replace(translate(lower(<text>), '123456789', '000000000'), '<mark>(?=[\\s\\u00a0\\u2028\\u2029]|$)', '\u0001'), '[ \\t\\u00a0]*[\\r\\n\\u2028\\u2029]+', ' ¶ '), '[ \\t\\u00a0]+'), ''),
+      array('∎'))"""
+# The last twelve pieces between single blanks hold the last five words and what stands before them, whatever their lengths.
+_END = "substring_index(CASE WHEN contains(core, '  ') THEN regexp_replace(core, ' +', ' ') ELSE core END, ' ', -12)"
 
 SQL = r"""
-WITH words AS (<words>),
+WITH cores AS (
+  SELECT *, regexp_replace(regexp_replace(tail, '(?i)<omission>$', ''), '<blank>+$', '') AS core
+  FROM (SELECT key, source, regexp_replace(body, '<blank>+$', '') AS tail FROM {texts}) WHERE tail <> ''),
+words AS (SELECT xxhash64(core) AS body, <words of texts> AS w FROM cores),
+ends AS (
+  SELECT key, source, xxhash64(core) AS body, rlike(core, '<whole>') OR endswith(core, '```') OR rlike(core, '(^|[\\r\\n])[ \\t]*[|][^\\r\\n]*[|]$') AS whole,
+    rlike(tail, '(?i)<omission>$') AS omitted, ((length(core) - length(replace(core, '```', ''))) div 3) % 2 = 1 AS open_code, <words of ends> AS w
+  FROM cores),
 grams AS (
   SELECT body, a, b, rtrim('\u0001', c) AS c, endswith(c, '\u0001') AS marked, d = '¶' OR d = '∎' AS last, startswith(c, '0') AS number, z, p = '¶' OR z = '¶' AS starts
   FROM words LATERAL VIEW inline(arrays_zip(w, slice(w, 2, size(w)), slice(w, 3, size(w)), slice(w, 4, size(w)), slice(w, 5, size(w)), slice(w, 6, size(w)))) x AS p, z, a, b, c, d
@@ -56,7 +59,7 @@ counts AS (
 finals AS (
   SELECT key, source, body, omitted, open_code, whole, number_stop, kind, gram FROM (
     SELECT *, rtrim('\u0001', last_word) AS e, rlike(last_word, '^0+\u0001$') AS number_stop
-    FROM (SELECT *, w[size(w) - 6] AS p, w[size(w) - 5] AS z, w[size(w) - 4] AS a, w[size(w) - 3] AS b, w[size(w) - 2] AS last_word FROM words))
+    FROM (SELECT *, w[size(w) - 6] AS p, w[size(w) - 5] AS z, w[size(w) - 4] AS a, w[size(w) - 3] AS b, w[size(w) - 2] AS last_word FROM ends))
   LATERAL VIEW inline(array(
     named_struct('kind', 3, 'gram', xxhash64(a, b, e)), named_struct('kind', 2, 'gram', xxhash64(a, b)),
     named_struct('kind', 4, 'gram', CASE WHEN p = '¶' OR z = '¶' THEN xxhash64(z, a, b, e) END),
@@ -88,7 +91,7 @@ def judged_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source:
     A key that stands in several rows is judged once for each of its different texts. Null sources
     stay null. Texts of any length are counted whole.
     """
-    sql = SQL.replace("<words>", _WORDS)
+    sql = SQL.replace("<words of texts>", _SPLIT.replace("<text>", "core")).replace("<words of ends>", _SPLIT.replace("<text>", _END))
     for name, pattern in (("<omission>", OMISSION), ("<blank>", BLANKS), ("<mark>", MARK), ("<whole>", WHOLE)):
         sql = sql.replace(name, pattern)
     texts = df.selectExpr(f"`{key}` AS key", f"`{source}` AS source", f"CAST(`{text}` AS string) AS body")
