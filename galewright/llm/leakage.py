@@ -171,12 +171,14 @@ def align(item: np.ndarray, doc: np.ndarray, mismatch: float = 2.0, gap: float =
     """The best local alignment: (matched words, item from, item to, doc from, doc to). Ids of 0 match nothing."""
     m, n = len(item), len(doc)
     h = np.zeros((m + 1, n + 1), np.float32)
-    slope = gap * np.arange(n + 1, dtype=np.float32)
+    slope = gap * np.arange(n, dtype=np.float32)
     score = np.where((item[:, None] == doc[None, :]) & (item[:, None] > 0), 1.0, -mismatch).astype(np.float32)
     for i in range(1, m + 1):
-        row = np.maximum(np.maximum(h[i - 1, :-1] + score[i - 1], h[i - 1, 1:] - gap), 0)
-        row = np.r_[np.float32(0), row]
-        h[i] = np.maximum(np.maximum.accumulate(row + slope) - slope, 0)
+        row = np.maximum(h[i - 1, :-1] + score[i - 1], h[i - 1, 1:] - gap)
+        np.maximum(row, 0, out=row)
+        row += slope
+        np.maximum.accumulate(row, out=row)
+        np.subtract(row, slope, out=h[i, 1:])
     i, j = divmod(int(np.argmax(h)), n + 1)
     if h[i, j] <= 0:
         return 0, 0, 0, 0, 0
@@ -196,9 +198,9 @@ def align(item: np.ndarray, doc: np.ndarray, mismatch: float = 2.0, gap: float =
 class Searcher:
     """The items' side: vocabulary, phrases and the decision about a document and an item."""
 
-    def __init__(self, items: list[tuple[int, str]], phrase: int = 4, least: int = 15, piece: int = 7, seeds: int = 7):
+    def __init__(self, items: list[tuple[int, str]], phrase: int = 4, least: int = 15, piece: int = 8, pieces: int = 20, changes: float = 0.22):
         words = [words_of(t) for _, t in items]
-        self.item_ids, self.phrase, self.least, self.piece, self.seeds = [i for i, _ in items], phrase, least, piece, seeds
+        self.item_ids, self.phrase, self.least, self.piece, self.both, self.changes = [i for i, _ in items], phrase, least, piece, pieces, changes
         self.vocabulary = Vocabulary(words)
         self.items = [self.vocabulary.encode(w) for w in words]
         own = [(w[k : k + phrase], i, k) for i, w in enumerate(self.items) for k in range(len(w) - phrase + 1)]
@@ -208,37 +210,77 @@ class Searcher:
         for p, (_, i, k) in zip(np.ravel(back), own):
             owners[p].append((i, k))
         self.owner_at = np.r_[0, np.cumsum([len(o) for o in owners])].astype(np.int64)
-        self.rare = np.diff(self.owner_at) <= max(2, len(items) // 100)
+        self.needs: dict[tuple[int, int], int] = {}
         self.owner = np.array([x for o in owners for x in o], np.int64).reshape(-1, 2)
 
-    def pieces(self, item: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int]]:
-        """Up to two aligned pieces of the item as (matched words, from, to), each of ``piece`` words and more."""
-        out, least = [], len(item)
-        item = item.copy()
-        for _ in range(2):
-            matched, a, z, b, e = align(item, doc)
-            if z - a < min(self.piece, least):
-                break
-            out.append((matched, a, z))
-            item[a:z] = 0
-            doc = np.r_[doc[:b], np.zeros(e - b, doc.dtype), doc[e:]]
-        return out
-
-    def leaked(self, pieces: list[tuple[int, int, int]], item_length: int) -> bool:
-        """Whether the pieces are a passage of the item: ``least`` words in a row (or the whole of a shorter item), with
-        about two changed words for each nine words beyond that; or two pieces that follow each other in the item and make
-        up so many unchanged words."""
-        least = min(self.least, item_length)
-        if any(z - a >= least and (z - a) - m <= 0.22 * (z - a - least) for m, a, z in pieces):
+    def allowed(self, size: int, least: int) -> int:
+        """Changed, dropped or added words that a passage of ``size`` words may have."""
+        return int(self.changes * (size - least))
+
+    def need(self, run: int, length: int) -> int:
+        """How many words of the item unchanged runs of a phrase and more cover at least in any passage whose longest run
+        is ``run``; beyond the item's length if there is none. A passage of s words with k changes has at most k + 1 runs; as
+        many as can be are too short to hold a phrase."""
+        key = (min(run, self.least), length)
+        if key not in self.needs:
+            least, short = min(self.least, length), self.phrase - 1
+            best = length + 1
+            for s in range(least, length + 1):
+                k = self.allowed(s, least)
+                spare = run * (k + 1) - (s - k)
+                if spare >= 0:
+                    lost = min(k, spare // max(1, run - short)) if run > short else k
+                    best = min(best, max(run, s - k - short * lost))
+            self.needs[key] = best
+        return self.needs[key]
+
+    def leaked(self, hits: np.ndarray, item: np.ndarray, doc: np.ndarray) -> bool:
+        """Whether a document holds a passage of an item, given the places (document, item) of their common phrases.
+
+        A passage is ``least`` words in a row (or the whole of a shorter item) with few changes; or two pieces of ``piece``
+        words and more that follow each other in the item and make up ``pieces`` unchanged words: more than one piece must
+        have, because boilerplate puts common phrases side by side. The counts of `need` rule
+        out most pairs; an alignment decides about the others.
+        """
+        length = len(item)
+        least = min(self.least, length)
+        diagonal = hits[:, 0] - hits[:, 1]
+        order = np.lexsort((hits[:, 1], diagonal))
+        d, at = diagonal[order], hits[order, 1]
+        first = np.r_[True, (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]
+        begin = at[first]
+        end = at[np.r_[first[1:], True]] + self.phrase
+        size, line = end - begin, d[first]
+        if size.max() >= least:
             return True
-        if len(pieces) < 2:
-            return False
-        (m1, a1, z1), (m2, a2, z2) = sorted(pieces, key=lambda x: x[1])
-        return z1 == a2 and m1 == z1 - a1 and m2 == z2 - a2 and m1 + m2 >= least
+        long = size >= self.piece
+        if long.sum() > 1:
+            ends = {}
+            for z, n in zip(end[long].tolist(), size[long].tolist()):
+                ends[z] = max(n, ends.get(z, 0))
+            if any(n + ends.get(a, -self.both) >= self.both for a, n in zip(begin[long].tolist(), size[long].tolist())):
+                return True
+        # The runs of one passage lie on diagonals no further apart than its changes.
+        width = max(1, self.allowed(length, least))
+        for shift in (0, width):
+            band = (line + shift) // (2 * width)
+            for x in np.unique(band):
+                own = band == x
+                run = int(size[own].max())
+                covered = np.zeros(length + 1, np.int32)
+                np.add.at(covered, begin[own], 1)
+                np.add.at(covered, end[own], -1)
+                if int((np.cumsum(covered) > 0).sum()) < self.need(run, length):
+                    continue
+                low = max(0, int((line[own] + begin[own]).min()) - length - width)
+                high = min(len(doc), int((line[own] + end[own]).max()) + length + width)
+                matched, a, z, b, e = align(item, doc[low:high])
+                if z - a >= least and max(z - a, e - b) - matched <= self.allowed(z - a, least):
+                    return True
+        return False
 
     def shard(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """(document, item) of each pair with a leaked passage, by their places in the lists. A pair is aligned if its
-        hits cover ``seeds`` words of the item and hold a phrase that few items share; boilerplate alone is no sign."""
+        """(document, item) of each pair with a leaked passage, by their places in the lists."""
         if not docs or not len(self.phrases):
             return
         starts = np.r_[0, np.cumsum([len(d) + 1 for d in docs])]
@@ -260,30 +302,19 @@ class Searcher:
         n_own = self.owner_at[which + 1] - self.owner_at[which]
         many = np.repeat(np.arange(len(which)), n_own)
         own = self.owner[np.arange(len(many)) - np.repeat(np.cumsum(n_own) - n_own, n_own) + np.repeat(self.owner_at[which], n_own)]
-        hits = np.stack([doc[many], own[:, 0], at[many] - starts[doc[many]], own[:, 1], self.rare[which[many]]], 1)
-        hits = hits[np.lexsort((hits[:, 2], hits[:, 1], hits[:, 0]))]
-        cut = np.nonzero(np.r_[True, (hits[1:, :2] != hits[:-1, :2]).any(1), True])[0]
-        for a, z in zip(cut[:-1], cut[1:]):
-            d, i = hits[a, 0], hits[a, 1]
-            covered = np.unique((hits[a:z, 3][:, None] + np.arange(self.phrase)).ravel())
-            if len(covered) < min(self.seeds, len(self.items[i])) or not hits[a:z, 4].any():
-                continue
-            for spot in self.spans(hits[a:z, 2], len(docs[d]), len(self.items[i])):
-                if self.leaked(self.pieces(self.items[i], docs[d][spot[0] : spot[1]]), len(self.items[i])):
-                    yield int(d), int(i)
-                    break
-
-    def spans(self, at: np.ndarray, doc_length: int, item_length: int) -> list[tuple[int, int]]:
-        """Merged stretches of the document around hits, an item's length to either side at most."""
-        reach = item_length + 10
-        out: list[list[int]] = []
-        for p in at:
-            a, z = max(0, int(p) - reach), min(doc_length, int(p) + reach)
-            if out and a <= out[-1][1] and z - out[-1][0] <= 6 * reach:
-                out[-1][1] = z
-            else:
-                out.append([a, z])
-        return [(a, z) for a, z in out]
+        hits = np.stack([doc[many], own[:, 0], at[many] - starts[doc[many]], own[:, 1]], 1)
+        # One hit covers a phrase; fewer words than the shortest passage has are no passage.
+        pair = hits[:, 0] * len(self.items) + hits[:, 1]
+        order = np.argsort(pair, kind="stable")
+        hits, pair = hits[order], pair[order]
+        cut = np.nonzero(np.r_[True, pair[1:] != pair[:-1]])[0]
+        ends = np.r_[cut[1:], len(hits)]
+        lengths = np.array([len(x) for x in self.items])
+        enough = (ends - cut) * self.phrase >= np.minimum(self.least, lengths[hits[cut, 1]])
+        for a, z in zip(cut[enough], ends[enough]):
+            d, i = int(hits[a, 0]), int(hits[a, 1])
+            if self.leaked(hits[a:z, 2:], self.items[i], docs[d]):
+                yield d, i
 
 
 @functools.lru_cache(maxsize=4)

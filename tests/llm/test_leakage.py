@@ -61,6 +61,12 @@ def test_kinds_of_leaks(spark):
     assert found(spark, texts) == {(k, 1) for k in range(11)} | {(11, 2)}
 
 
+def test_copies_among_the_items(spark):
+    rows = tuple((k, ITEM) for k in range(6)) + tuple((10 + k, ITEM.replace("eight", w)) for k, w in enumerate(("two", "three", "four", "five")))
+    got = found(spark, [FILL + ITEM], rows)
+    assert {(0, k) for k in range(6)} <= got and {(0, 10 + k) for k in range(4)} <= got
+
+
 def test_no_leaks(spark):
     w = ITEM.split()
     assert found(spark, [FILL * 3, " ".join(w[4:16]), FILL + " ".join(w[3:14]) + FILL, "", None, "turbine", " ".join(reversed(w))]) == set()
