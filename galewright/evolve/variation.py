@@ -285,3 +285,14 @@ def transfer(genome: Genome, inputs: list[str], outputs: list[str], mutator: Mut
     out.nodes.sort(key=lambda n: (n.layer == OUTPUT, order.get(n.parameter, 0) if n.layer == OUTPUT else 0, n.depth, n.innovation))
     out.fitness = math.inf
     return out
+
+
+def simplex_step(best: dict[str, float], others: list[dict[str, float]], bounds: dict[str, tuple[float, float]], rng: np.random.Generator) -> dict[str, float]:
+    """New hyper-parameters on the line from the mean of some genomes' through the best one's: mean + r (best - mean) with r
+    from U(-0.5, 1.5), within bounds."""
+    r = rng.uniform(-0.5, 1.5)
+    out = {}
+    for k, (low, high) in bounds.items():
+        mean = float(np.mean([o[k] for o in others]))
+        out[k] = float(np.clip(mean + r * (best[k] - mean), low, high))
+    return out

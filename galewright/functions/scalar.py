@@ -113,3 +113,8 @@ def map_text(m: Column) -> Column:
 
 def map_from_text(text: Column) -> Column:
     return F.when(text == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(text, F.lit(";"), F.lit("=")))
+
+
+def natural_key(text: Column, width: int = 20) -> Column:
+    """A text's key in natural order: digits of each number are filled up with zeros, so that ``run_2`` comes before ``run_10``."""
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\d+|[^0-9]+)"), F.lit(1)), lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, width, "0")).otherwise(p)), "")

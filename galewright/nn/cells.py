@@ -138,3 +138,40 @@ def mixture_weights(pi, noise, uses: int, keep: int = 0):
         kept[top] = z[top]
         z = kept / kept.sum()
     return z
+
+
+def mixture_cell(parts: tuple[str, ...], noise=None, uses: int = 0, keep: int = 0) -> Cell:
+    """A cell that is the sum of others, each weighted by its share: the first weights are the logarithms of the shares before noise,
+    the others are the parts' own. ``noise`` holds one Gumbel draw per part; from 1,000 uses on only the strongest part runs."""
+    import numpy as np
+
+    cells = [CELLS[p] for p in parts]
+    g = np.zeros(len(parts)) if noise is None else np.asarray(noise, float)
+    t = max(1 / 3, 1 / (1 + 0.05 * uses))
+
+    def step(w, x, state):
+        logits, own = w[: len(parts)], list(w[len(parts) :])
+        state = [None] * len(parts) if state is None else list(state)
+        value = np.array([float(A._val(v)) for v in logits])
+        chosen = mixture_weights(np.exp(value - value.max()), g, uses, keep) > 0
+        # Shares by exponentials of differences, so that derivatives reach the logits.
+        scores = [(v + float(n)) * (1 / t) for v, n in zip(logits, g)]
+        top = max(float(A._val(s)) for s in scores)
+        parts_exp = [A.exp(s - top) if c else 0.0 for s, c in zip(scores, chosen)]
+        total = 0.0
+        for e in parts_exp:
+            total = total + e
+        scale = A.inverse(total)
+        y = 0.0
+        for k, cell in enumerate(cells):
+            mine, own = own[: len(cell.weights)], own[len(cell.weights) :]
+            if chosen[k]:
+                out, state[k] = cell.step(mine, x, state[k])
+                y = y + out * (parts_exp[k] * scale)
+        return y, tuple(state)
+
+    names = tuple(f"share_{p}" for p in parts) + tuple(f"{p}_{n}" for p, c in zip(parts, cells) for n in c.weights)
+    return Cell("dnas", names, step)
+
+
+CELLS["dnas"] = mixture_cell(("simple", "ugrnn", "mgu", "gru", "delta", "lstm"))

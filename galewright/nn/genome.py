@@ -171,7 +171,7 @@ class Genome:
         for e in self.edges:
             style = "solid" if id(e) in edges else "dashed"
             tag = f"{e.weight:.3f}" + (f" t-{e.delay}" if e.delay else "")
-            lines.append(f'  n{e.source} -> n{e.target} [label="{tag}", style={style}];')
+            lines.append(f'  n{e.source} -> n{e.target} [label="{tag}", style={style}, color="{weight_color(e.weight)}"];')
         return "\n".join([*lines, "}"])
 
     def to_equations(self) -> list[str]:
@@ -194,6 +194,13 @@ class Genome:
         return out
 
 
+def weight_color(weight: float) -> str:
+    """From blue over grey to red as a weight goes from -10 to 10, steepest around 0."""
+    x = math.tanh(weight)
+    red, blue = round(127 + 128 * max(0.0, x)), round(127 + 128 * max(0.0, -x))
+    return f"#{red:02x}{round(127 * (1 - abs(x))):02x}{blue:02x}"
+
+
 def seed_genome(inputs: list[str], outputs: list[str], cell: str | None = None, hidden: int = 0, layers: int = 0, max_delay: int = 0) -> Genome:
     """Inputs fully connected to outputs, or to ``layers`` layers of ``hidden`` cells between; with ``max_delay``, recurrent
     edges of each delay from every hidden and output node to those at its depth and before."""

@@ -78,24 +78,42 @@ def errors(predicted: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float((d**2).mean(1).sum(-1).mean()), float(np.abs(d).mean(1).sum(-1).mean())
 
 
-def loss_and_gradient(genome: Genome, x: np.ndarray, y: np.ndarray, inputs: list[str], weights=None, dropout: float = 0.0, rng=None) -> tuple[float, np.ndarray]:
-    """The mean over the batch of mse (sum over outputs of the mean over time) and its gradient by the weights."""
+def losses(rows: list[list], y: np.ndarray, loss: str) -> tuple[float, list[list[np.ndarray]]]:
+    """The mean loss over the batch of outputs per time, and its derivative by each output.
+
+    ``mse``: the sum over outputs of the mean over time of squared errors; ``mae`` of absolute ones; ``softmax``: the cross
+    entropy of the outputs' softmax, summed over time.
+    """
+    batch, steps = y.shape[0], y.shape[1]
+    total, out = 0.0, []
+    for t, row in enumerate(rows):
+        v = np.stack([np.broadcast_to(x.value if isinstance(x, A.Var) else x, (batch,)) for x in row], -1)
+        if loss == "softmax":
+            e = np.exp(v - v.max(-1, keepdims=True))
+            p = e / e.sum(-1, keepdims=True)
+            total += float(-(y[:, t] * np.log(np.maximum(p, 1e-300))).sum()) / batch
+            slope = (p * y[:, t].sum(-1, keepdims=True) - y[:, t]) / batch
+        elif loss == "mae":
+            total += float(np.abs(v - y[:, t]).sum()) / (batch * steps)
+            slope = np.sign(v - y[:, t]) / (batch * steps)
+        else:
+            total += float(((v - y[:, t]) ** 2).sum()) / (batch * steps)
+            slope = 2 * (v - y[:, t]) / (batch * steps)
+        out.append([slope[:, k] for k in range(v.shape[1])])
+    return total, out
+
+
+def loss_and_gradient(genome: Genome, x: np.ndarray, y: np.ndarray, inputs: list[str], weights=None, dropout: float = 0.0, rng=None, loss: str = "mse") -> tuple[float, np.ndarray]:
+    """The mean loss over the batch and its gradient by the weights."""
     values = genome.get_weights() if weights is None else np.asarray(weights, float)
     leaves = [A.Var(np.float64(v)) for v in values]
     out = forward(genome, x, inputs, leaves, dropout, rng)
-    batch, steps, _ = x.shape
-    seeds, total = [], 0.0
-    for t, row in enumerate(out):
-        for k, v in enumerate(row):
-            d = (v.value if isinstance(v, A.Var) else v) - y[:, t, k]
-            total += float((d**2).sum()) / (batch * steps)
-            if isinstance(v, A.Var):
-                seeds.append((v, 2 * np.broadcast_to(d, (batch,)) / (batch * steps)))
-    A.backward(seeds)
+    total, slopes = losses(out, y, loss)
+    A.backward([(v, s) for row, ss in zip(out, slopes) for v, s in zip(row, ss) if isinstance(v, A.Var)])
     return total, np.array([float(np.sum(v.grad)) for v in leaves])
 
 
-def numeric_gradient(genome: Genome, x: np.ndarray, y: np.ndarray, inputs: list[str], step: float = 1e-5) -> np.ndarray:
+def numeric_gradient(genome: Genome, x: np.ndarray, y: np.ndarray, inputs: list[str], step: float = 1e-5, loss: str = "mse") -> np.ndarray:
     """The gradient by central differences, for tests."""
     values, out = genome.get_weights(), []
     for k in range(len(values)):
@@ -103,7 +121,6 @@ def numeric_gradient(genome: Genome, x: np.ndarray, y: np.ndarray, inputs: list[
         for s in (step, -step):
             w = values.copy()
             w[k] += s
-            rows = forward(genome, x, inputs, list(w))
-            sides.append(sum(float(((v - y[:, t, j]) ** 2).sum()) for t, row in enumerate(rows) for j, v in enumerate(row)) / (x.shape[0] * x.shape[1]))
+            sides.append(losses(forward(genome, x, inputs, list(w)), y, loss)[0])
         out.append((sides[0] - sides[1]) / (2 * step))
     return np.array(out)

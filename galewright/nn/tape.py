@@ -73,6 +73,11 @@ def swish(x):
     return _unary(x, v * s, s + v * s * (1 - s))
 
 
+def exp(x):
+    y = np.exp(np.minimum(_val(x), 700.0))
+    return _unary(x, y, y)
+
+
 def sin(x):
     return _unary(x, np.sin(_val(x)), np.cos(_val(x)))
 

@@ -95,7 +95,7 @@ def initialize(genome: Genome, rule: str, rng: np.random.Generator) -> None:
 
 def train(
     genome: Genome, x: np.ndarray, y: np.ndarray, vx: np.ndarray, vy: np.ndarray, inputs: list[str], iterations: int = 10, optimizer: Optimizer | None = None,
-    batch: int = 1, seed: int = 1, dropout: float = 0.0,
+    batch: int = 1, seed: int = 1, dropout: float = 0.0, loss: str = "mse",
 ) -> list[dict]:
     """Back-propagation through time, in shuffled batches of episodes (``batch`` 1: after each episode; the number of all:
     full batches). The genome ends with its best validation weights and their mse as fitness; a step that isn't finite
@@ -109,17 +109,17 @@ def train(
         order = rng.permutation(len(x))
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
-            loss, gradient = loss_and_gradient(genome, x[rows], y[rows], inputs, weights, dropout, rng)
-            if not (math.isfinite(loss) and np.isfinite(gradient).all()):
+            value, gradient = loss_and_gradient(genome, x[rows], y[rows], inputs, weights, dropout, rng, loss)
+            if not (math.isfinite(value) and np.isfinite(gradient).all()):
                 genome.fitness = math.nan
                 return log
             weights = optimizer.step(weights, gradient)
-            total += loss * len(rows)
+            total += value * len(rows)
         genome.set_weights(weights)
         mse, mae = errors(predict(genome, vx, inputs), vy)
         if mse < best:
             best, best_weights = mse, weights.copy()
-        log.append({"iteration": it, "train_mse": total / len(x), "validation_mse": mse, "validation_mae": mae, "best_validation_mse": best})
+        log.append({"iteration": it, "train_loss": total / len(x), "validation_mse": mse, "validation_mae": mae, "best_validation_mse": best})
     genome.set_weights(best_weights)
     genome.fitness = best
     return log

@@ -205,8 +205,28 @@ class OnlineRun:
         self.mse[low:generation] = 0.7 * self.mse[low:generation] + 0.3 * float(np.mean(fits))
         self.priority_log += [{"generation": generation, "episode_id": self.ids[k], "mse": float(m)} for k, m in enumerate(self.mse)]
 
+    def save(self, path: str) -> None:
+        """The run's state as one row of JSON, in a file system that the cluster shares."""
+        p = self.population
+        state = {
+            "done": len(self.log), "next_id": p.next_id, "size": p.size, "wins": p.wins, "shrunk": p.shrunk, "mse": list(self.mse), "log": self.log, "rng": p.rng.bit_generator.state,
+            "innovations": [p.mutator.innovations.node, p.mutator.innovations.edge],
+            "islands": [{"status": i.status, "immune": i.immune, "elite": [g.to_row() for g in i.elite]} for i in p.islands],
+        }
+        self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").text(path)
+
+    def resume(self, path: str) -> None:
+        """Goes on from a saved state: the next generations are those that an unbroken run would have had."""
+        state, p = json.loads(self.spark.read.text(path).collect()[0][0]), self.population
+        p.next_id, p.size, p.wins, p.shrunk, self.mse, self.log = state["next_id"], state["size"], state["wins"], state["shrunk"], np.array(state["mse"]), state["log"]
+        p.rng.bit_generator.state = state["rng"]
+        p.mutator.innovations.node, p.mutator.innovations.edge = state["innovations"]
+        for island, saved in zip(p.islands, state["islands"]):
+            island.status, island.immune, island.elite = saved["status"], saved["immune"], [Genome.from_row(g) for g in saved["elite"]]
+        self.best = p.best()
+
     def run(self) -> DataFrame:
-        for g in range(self.generations):
+        for g in range(len(self.log), self.generations):
             self.step(g)
         return self.spark.createDataFrame(pd.DataFrame(self.log).astype({"erased_island": "float64"}))
 

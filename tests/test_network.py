@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 
 from galewright.evolve.populations import Island, Islands, Species, SteadyIslands, filled_with_mutants, insert_bounded
-from galewright.evolve.variation import Innovations, Mutator, crossover, distance, moments, transfer
-from galewright.nn.cells import CELLS, mixture_weights
+from galewright.evolve.variation import Innovations, Mutator, crossover, distance, moments, simplex_step, transfer
+from galewright.nn.cells import CELLS, mixture_cell, mixture_weights
 from galewright.nn.genome import Edge, Genome, Node, seed_genome
 from galewright.nn.network import errors, forward, loss_and_gradient, numeric_gradient, predict
 from galewright.nn.training import Optimizer, initialize, train
@@ -36,6 +36,28 @@ def test_gradient_equals_central_differences(cell, shape):
     assert np.abs(a - numeric_gradient(g, x, y, IN)).max() < 1e-6
 
 
+@pytest.mark.parametrize("loss", ["mse", "mae", "softmax"])
+def test_losses(loss):
+    g = seed_genome(IN, ["y", "z"], "gru", 2, 1, 1)
+    initialize(g, "random", np.random.default_rng(4))
+    x, y = data(3, 5)
+    y = np.concatenate([(y > 0), (y <= 0)], -1).astype(float) if loss == "softmax" else np.concatenate([y, -y], -1)
+    _, a = loss_and_gradient(g, x, y, IN, loss=loss)
+    assert np.abs(a - numeric_gradient(g, x, y, IN, loss=loss)).max() < 1e-6
+
+
+def test_mixture_cell():
+    cell = mixture_cell(("simple", "mgu"), [0.3, -0.2], 4)
+    w = np.random.default_rng(1).normal(0, 0.5, len(cell.weights))
+    z = mixture_weights(np.exp(w[:2]), [0.3, -0.2], 4)
+    a, _ = CELLS["simple"].step(w[2:3], 0.7, None)
+    b, _ = CELLS["mgu"].step(w[3:], 0.7, None)
+    y, state = cell.step(list(w), 0.7, None)
+    assert abs(float(y) - (z[0] * a + z[1] * b)) < 1e-12 and len(state) == 2
+    only, _ = mixture_cell(("simple", "mgu"), None, 1000).step([0.0, 1.0, *w[2:]], 0.7, None)
+    assert abs(float(only) - b) < 1e-12
+
+
 def test_inverse_gradient_away_from_zero():
     g = made("inverse", 1, 1, 0)
     x, y = data(2, 4)
@@ -238,3 +260,11 @@ def test_image_kernels():
     assert abs(n.mean()) < 1e-9 and np.isclose(var, x.var(ddof=1)) and np.allclose(I.batch_norm(x, 1.0, 0.0, (mean, var))[0], n)
     w3, _ = I.velocity_step(np.array([60.0]), np.array([0.0]), np.array([0.0]), 0.5, 0.1, 0.0)
     assert w3[0] == 50 and np.allclose(I.softmax_rows(np.array([[1000.0, 1000.0]])), 0.5)
+
+
+def test_simplex():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        out = simplex_step({"a": 2.0, "b": 0.0}, [{"a": 1.0, "b": 1.0}, {"a": 0.0, "b": 0.0}], {"a": (0.0, 2.5), "b": (-1.0, 1.0)}, rng)
+        assert 0 <= out["a"] <= 2.5 and -1 <= out["b"] <= 1
+        assert out["a"] == 2.5 or out["a"] == 0 or np.isclose((out["a"] - 0.5) / 1.5, (out["b"] - 0.5) / -0.5)

@@ -44,3 +44,16 @@ def test_run_is_repeatable(spark):
     scored = online.score(spark, runs[0].best, episodes(spark), SPEC)
     assert scored.count() == episodes(spark).count() * SPEC.length
     assert online.sampled_ids(episodes(spark), 5, 1).count() == 5
+
+
+def test_a_saved_run_goes_on_as_if_unbroken(spark, tmp_path):
+    config = RunConfig(islands=2, island_size=2, generated=2, generations=3, iterations=1, training_episodes=5, validation_episodes=2, seed=8)
+    whole = online.OnlineRun(spark, episodes(spark), SPEC, config, batch=5)
+    whole.run()
+    first = online.OnlineRun(spark, episodes(spark), SPEC, config, batch=5)
+    first.step(0)
+    first.save(str(tmp_path / "state"))
+    second = online.OnlineRun(spark, episodes(spark), SPEC, config, batch=5)
+    second.resume(str(tmp_path / "state"))
+    second.run()
+    assert [r["best_validation_mse"] for r in second.log] == [r["best_validation_mse"] for r in whole.log]
