@@ -211,13 +211,14 @@ class Searcher:
             owners[p].append((i, k))
         self.owner_at = np.r_[0, np.cumsum([len(o) for o in owners])].astype(np.int64)
         self.needs: dict[tuple[int, int], int] = {}
+        self.needed = np.array([[self.needed_for(r, len(w)) for r in range(self.least + 1)] for w in self.items], np.int64).reshape(-1, self.least + 1)
         self.owner = np.array([x for o in owners for x in o], np.int64).reshape(-1, 2)
 
     def allowed(self, size: int, least: int) -> int:
         """Changed, dropped or added words that a passage of ``size`` words may have."""
         return int(self.changes * (size - least))
 
-    def need(self, run: int, length: int) -> int:
+    def needed_for(self, run: int, length: int) -> int:
         """How many words of the item unchanged runs of a phrase and more cover at least in any passage whose longest run
         is ``run``; beyond the item's length if there is none. A passage of s words with k changes has at most k + 1 runs; as
         many as can be are too short to hold a phrase."""
@@ -234,8 +235,8 @@ class Searcher:
             self.needs[key] = best
         return self.needs[key]
 
-    def leaked(self, hits: np.ndarray, item: np.ndarray, doc: np.ndarray) -> bool:
-        """Whether a document holds a passage of an item, given the places (document, item) of their common phrases.
+    def leaked(self, runs: np.ndarray, item: np.ndarray, doc: np.ndarray) -> bool:
+        """Whether a document holds a passage of an item, given their unchanged runs (item from, item to, diagonal).
 
         A passage is ``least`` words in a row (or the whole of a shorter item) with few changes; or two pieces of ``piece``
         words and more that follow each other in the item and make up ``pieces`` unchanged words: more than one piece must
@@ -244,13 +245,8 @@ class Searcher:
         """
         length = len(item)
         least = min(self.least, length)
-        diagonal = hits[:, 0] - hits[:, 1]
-        order = np.lexsort((hits[:, 1], diagonal))
-        d, at = diagonal[order], hits[order, 1]
-        first = np.r_[True, (d[1:] != d[:-1]) | (at[1:] != at[:-1] + 1)]
-        begin = at[first]
-        end = at[np.r_[first[1:], True]] + self.phrase
-        size, line = end - begin, d[first]
+        begin, end, line = runs[:, 0], runs[:, 1], runs[:, 2]
+        size = end - begin
         if size.max() >= least:
             return True
         long = size >= self.piece
@@ -270,7 +266,7 @@ class Searcher:
                 covered = np.zeros(length + 1, np.int32)
                 np.add.at(covered, begin[own], 1)
                 np.add.at(covered, end[own], -1)
-                if int((np.cumsum(covered) > 0).sum()) < self.need(run, length):
+                if int((np.cumsum(covered) > 0).sum()) < self.needed_for(run, length):
                     continue
                 low = max(0, int((line[own] + begin[own]).min()) - length - width)
                 high = min(len(doc), int((line[own] + end[own]).max()) + length + width)
@@ -303,17 +299,22 @@ class Searcher:
         many = np.repeat(np.arange(len(which)), n_own)
         own = self.owner[np.arange(len(many)) - np.repeat(np.cumsum(n_own) - n_own, n_own) + np.repeat(self.owner_at[which], n_own)]
         hits = np.stack([doc[many], own[:, 0], at[many] - starts[doc[many]], own[:, 1]], 1)
-        # One hit covers a phrase; fewer words than the shortest passage has are no passage.
-        pair = hits[:, 0] * len(self.items) + hits[:, 1]
-        order = np.argsort(pair, kind="stable")
-        hits, pair = hits[order], pair[order]
-        cut = np.nonzero(np.r_[True, pair[1:] != pair[:-1]])[0]
-        ends = np.r_[cut[1:], len(hits)]
-        lengths = np.array([len(x) for x in self.items])
-        enough = (ends - cut) * self.phrase >= np.minimum(self.least, lengths[hits[cut, 1]])
-        for a, z in zip(cut[enough], ends[enough]):
-            d, i = int(hits[a, 0]), int(hits[a, 1])
-            if self.leaked(hits[a:z, 2:], self.items[i], docs[d]):
+        # Runs of all pairs at once: hits of a pair on one diagonal that follow each other.
+        pair, diagonal = hits[:, 0] * len(self.items) + hits[:, 1], hits[:, 2] - hits[:, 3]
+        order = np.lexsort((hits[:, 3], diagonal, pair))
+        hits, pair, diagonal = hits[order], pair[order], diagonal[order]
+        first = np.r_[True, (pair[1:] != pair[:-1]) | (diagonal[1:] != diagonal[:-1]) | (hits[1:, 3] != hits[:-1, 3] + 1)]
+        begin = np.nonzero(first)[0]
+        size = np.diff(np.r_[begin, len(hits)]) + self.phrase - 1
+        runs = np.stack([hits[begin, 3], hits[begin, 3] + size, diagonal[begin]], 1)
+        owner = pair[begin]
+        cut = np.nonzero(np.r_[True, owner[1:] != owner[:-1]])[0]
+        ends = np.r_[cut[1:], len(owner)]
+        longest, covered = np.maximum.reduceat(size, cut), np.add.reduceat(size, cut)
+        which_item = hits[begin[cut], 1]
+        enough = (longest * 2 >= self.both) | (covered >= self.needed[which_item, np.minimum(longest, self.least)])
+        for a, z, d, i in zip(cut[enough], ends[enough], hits[begin[cut[enough]], 0].tolist(), which_item[enough].tolist()):
+            if self.leaked(runs[a:z], self.items[i], docs[d]):
                 yield d, i
 
 
