@@ -10,7 +10,7 @@ END = "<eos>"
 
 def clean_spaces(text: Column) -> Column:
     """Without spaces at the ends, and with one in place of several."""
-    return F.regexp_replace(F.regexp_replace(text, r"^ +| +\z", ""), " +", " ")
+    return F.regexp_replace(F.trim(text), " +", " ")
 
 
 def tokens(df: DataFrame, line: str, text: str) -> DataFrame:

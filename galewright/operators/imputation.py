@@ -20,6 +20,9 @@ STAND_IN_NUMBERS = [-99999.0, -32768.0, -9999.0, -999.99, -999.9, -999.0, 999.99
 STAND_IN_TEXTS = ["", "-", "--", "?", "n/a", "na", "n.a.", "nan", "nil", "none", "not set", "null", "tbd", "unknown", "undefined", "missing"]
 
 
+BLANKS = " \t\n\r\u000b\u000c\u00a0\u2003\u3000\ufeff"
+
+
 def number_or_null(name: str, low: float, high: float) -> Column:
     """The number, or null where it is null, NaN, a stand-in or outside what the sensor can read."""
     c = F.col(name).cast("double")
@@ -28,7 +31,7 @@ def number_or_null(name: str, low: float, high: float) -> Column:
 
 def text_or_null(name: str) -> Column:
     """The text without blanks around it, or null where it is null, blank or a stand-in."""
-    c = F.regexp_replace(F.col(name), r"^[\s ]+|[\s ]+$", "")
+    c = F.btrim(F.col(name), F.lit(BLANKS))
     return F.when(~F.lower(c).isin(STAND_IN_TEXTS), c)
 
 
