@@ -11,32 +11,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-# Blanks and invisible characters, and marks of omission at a text's end (regular expressions).
-BLANKS = r"[\\s\\u00a0\\u200b\\u200e\\u200f\\u2028\\u2029\\ufeff]"
+# Blanks and invisible characters, and marks of omission at a text's end (regular expression).
+BLANKS = r" \t\n\r\u000b\u000c\u0085 ​‎‏  　﻿"
 OMISSION = r"(?:\\u2026|\\.\\.\\.+|[\\[(<](?:\\u2026|\\.\\.\\.+|cut|snip|more|truncated|continued|cont\\.?)[\\])>])"
 
-#: What ends a sentence, with quotes and brackets that may follow.
-MARK = r"[.!?\u3002\uff01\uff1f]+[\"\u201d\u2019\u00bb\\)\\]*_]*"
+#: What ends a sentence, with quotes and brackets that may follow. It is looked for only where a run of marks begins.
+MARK = r"(?<![.!?。！？])[.!?。！？]++[\"”’»\\)\\]*_]*+"
 
 #: A whole ending: the end of a sentence, and after it only bracketed remarks, tags, emoticons and the like.
-WHOLE = r"[.!?\u3002\uff01\uff1f][\"\u201d\u2019\u00bb\\)\\]*_]*(?:[ \\t]*(?:\\([^()\\n]*\\)|\\[[^\\[\\]\\n]*\\]|</[a-zA-Z0-9]+>|[^\\pL\\pN\\s]+))*$"
+WHOLE = r"[.!?。！？][\"”’»\\)\\]*_]*+(?:[ \\t]*+(?:\\([^()\\n]*+\\)|\\[[^\\[\\]\\n]*+\\]|</[a-zA-Z0-9]++>|[^\\pL\\pN\\s]++))*+$"
 
 # Words end in one control character if a sentence ends there; digits count as 0; a line end is the word of a pilcrow, the
 # text's end that of a black box. Marks are set once per text, so that no word meets a regular expression.
 _SPLIT = r"""concat(array('¶', '¶', '¶', '¶', '¶'),
-      array_remove(split(regexp_replace(regexp_replace(translate(lower(<text>), '123456789', '000000000'), '<mark>(?=[\\s\\u00a0\\u2028\\u2029]|$)', '\u0001'), '[ \\t\\u00a0]*[\\r\\n\\u2028\\u2029]+', ' ¶ '), '[ \\t\\u00a0]+'), ''),
+      array_remove(split(regexp_replace(regexp_replace(translate(lower(replace(<text>, '\r\n', '\n')), '123456789\t \r  ', '000000000  \n\n\n'), '<mark>(?=[\\s]|$)', '\u0001'), '\n+', ' ¶ '), ' '), ''),
       array('∎'))"""
 # The last twelve pieces between single blanks hold the last five words and what stands before them, whatever their lengths.
 _END = "substring_index(CASE WHEN contains(core, '  ') THEN regexp_replace(core, ' +', ' ') ELSE core END, ' ', -12)"
 
 SQL = r"""
 WITH cores AS (
-  SELECT *, regexp_replace(regexp_replace(tail, '(?i)<omission>$', ''), '<blank>+$', '') AS core
-  FROM (SELECT key, source, regexp_replace(body, '<blank>+$', '') AS tail FROM {texts}) WHERE tail <> ''),
+  SELECT key, source, mark <> '' AS omitted, rtrim('<blank>', CASE WHEN length(mark) = 64 THEN rtrim('.', tail) ELSE substring(tail, 1, length(tail) - length(mark)) END) AS core
+  FROM (SELECT *, regexp_extract(right(tail, 64), '(?i)(<omission>)$', 1) AS mark FROM (SELECT key, source, rtrim('<blank>', body) AS tail FROM {texts}) WHERE tail <> '')),
 words AS (SELECT xxhash64(core) AS body, <words of texts> AS w FROM cores),
+-- Only an ending that is neither a mark nor a letter or digit needs a look at what stands before it: up to 2,000 characters.
 ends AS (
-  SELECT key, source, xxhash64(core) AS body, rlike(core, '<whole>') OR endswith(core, '```') OR rlike(core, '(^|[\\r\\n])[ \\t]*[|][^\\r\\n]*[|]$') AS whole,
-    rlike(tail, '(?i)<omission>$') AS omitted, ((length(core) - length(replace(core, '```', ''))) div 3) % 2 = 1 AS open_code, <words of ends> AS w
+  SELECT key, source, xxhash64(core) AS body, omitted, ((length(core) - length(replace(core, '```', ''))) div 3) % 2 = 1 AS open_code, <words of ends> AS w,
+    CASE WHEN right(core, 1) IN ('.', '!', '?', '。', '！', '？') OR endswith(core, '```') THEN true
+      WHEN rlike(right(core, 1), '[\\pL\\pN]') THEN false
+      WHEN right(core, 1) = '|' AND rlike(right(core, 2000), '(^|[\\r\\n])[ \\t]*+[|][^\\r\\n]*[|]$') THEN true
+      ELSE rlike(right(core, 2000), '<whole>') END AS whole
   FROM cores),
 grams AS (
   SELECT body, a, b, rtrim('\u0001', c) AS c, endswith(c, '\u0001') AS marked, d = '¶' OR d = '∎' AS last, startswith(c, '0') AS number, z, p = '¶' OR z = '¶' AS starts

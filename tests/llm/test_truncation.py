@@ -41,7 +41,7 @@ def test_shares(spark):
     assert got == {"s": (240, 0), "cut": (len(CUT), len(CUT)), "ok": (len(WHOLE), 0)}
 
 
-@pytest.mark.parametrize("text", ["x" * 200_000, "word " * 40_000, "é́ 🌬️", "¶ ∎ | ' \" \\ {x}", "0", "..."])
+@pytest.mark.parametrize("text", ["x" * 200_000, "word " * 40_000, "é́ 🌬️", "¶ ∎ | ' \" \\ {x}", "0", "...", "." * 50_000, "." * 50_000 + "x", "a" + " " * 100_000 + "x", "a." + "!" * 50_000 + " b )", "\n" * 50_000 + "y", "(" * 50_000 + ".)"])
 def test_odd_texts_come_out_once(spark, text):
     df = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
     assert judged_texts(df).count() == 1
