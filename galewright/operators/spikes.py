@@ -145,6 +145,8 @@ def check_block(pdf: pd.DataFrame, fields: list[Field], window: int, longest: in
             apart = np.abs(rest) > f.least * unit
             spike = gesd(rest, alpha, floor=f.least * (unit if np.isfinite(unit) else 1.0) / 20) & apart
             beyond = (x < f.low * unit) | (x > f.high * unit)
+            if f.relative:  # the full range is only what was seen: a companion that goes along speaks for the value
+                beyond &= ~(np.abs(x - companion) <= f.least * unit)
         spike &= _run_lengths(spike & ~np.isnan(x)) <= longest
         found = (spike | beyond | constant_runs(x, timed, constant)) & ~np.isnan(x)
         marks[frame.index.to_numpy(), j] = found[key]

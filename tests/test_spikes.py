@@ -46,6 +46,17 @@ def test_spikes_runs_and_ranges_but_no_level_shift(spark):
     assert found(frame(spark, v, w), block_rows=400) == want
 
 
+def test_a_real_gust_beyond_the_usual_range_is_no_case(spark):
+    rng = np.random.default_rng(7)
+    w = np.abs(rng.normal(100, 5, 2000))
+    w[600:606] = 300.0
+    v = 2 * w + rng.normal(0, 0.5, 2000)
+    v[1200:1206] = 900.0  # the companion stays
+    fields = [Field("v", ("w",), least=0.1, low=-0.2, high=1.3, scaled=True, relative=True)]
+    got = {r["id"] for r in implausible_values(frame(spark, v, w), "id", "s", "t", fields, "arrived").collect()}
+    assert got == set(range(1200, 1206))
+
+
 def test_repeats_and_rows_without_time(spark):
     v, w = series(400)
     v[50] += 9
