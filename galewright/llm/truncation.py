@@ -10,6 +10,7 @@ Everything is SQL; trigrams travel as 64-bit hashes.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # Blanks and invisible characters, and marks of omission at a text's end (regular expression).
 BLANKS = r" \t\n\r\u000b\u000c\u0085 ​‎‏  　﻿"
@@ -110,6 +111,5 @@ def cut_texts(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
 def cut_share(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """How often each source cuts: ``(source, n_texts, n_cut, share)``."""
     judged = judged_texts(df, key, text, source)
-    out = judged.groupBy("source").agg({"*": "count"}).withColumnRenamed("count(1)", "n_texts")
-    cut = judged.selectExpr("source", "CAST(is_cut AS int) AS x").groupBy("source").sum("x").selectExpr("source AS s", "`sum(x)` AS n_cut")
-    return out.join(cut, out["source"].eqNullSafe(cut["s"])).selectExpr(f"source AS `{source}`", "n_texts", "n_cut", "round(n_cut / n_texts, 6) AS share")
+    counts = judged.groupBy("source").agg(F.count("*").alias("n_texts"), F.count_if("is_cut").alias("n_cut"))
+    return counts.select(F.col("source").alias(source), "n_texts", "n_cut", F.round(F.col("n_cut") / F.col("n_texts"), 6).alias("share"))
