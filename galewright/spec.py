@@ -9,7 +9,7 @@ from dataclasses import dataclass, field, fields, replace
 # The names a configuration may use.
 UPDATES = ("vanilla", "momentum", "nesterov", "adagrad", "rmsprop", "adam", "adam-bias")
 WEIGHT_RULES = ("random", "xavier", "kaiming", "lamarckian", "gp")
-STRATEGIES = ("", "island", "neat", "onenas")
+STRATEGIES = ("", "island", "neat", "online")
 NORMALIZATIONS = ("none", "min_max", "avg_std_dev")
 REPOPULATIONS = ("random_parents", "best_parents", "best_genome", "best_island")
 
@@ -73,7 +73,7 @@ class SeriesSpec:
 class RunConfig:
     """A run of the search. Unknown keys and values are errors."""
 
-    strategy: str = "onenas"
+    strategy: str = "online"
     islands: int = 10
     island_size: int = 10
     generated: int = 10
