@@ -137,9 +137,9 @@ def _episode_ids(spark, d):
 
 
 def train_val_test_windows(spark, d):
-    ids = _episode_ids(spark, d)
-    g = spark.range(0, 40).select(F.col("id").alias("generation"))
-    return S.availability(ids, g, 10, 3)
+    """The windows of all generations that the data gives. They list each earlier episode, so rows grow with the square of the episodes."""
+    g = n_generations(spark, d).where("n_generations > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_generations") - 1)).alias("generation"))
+    return S.availability(_episode_ids(spark, d), g.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "generation"), 10, 3)
 
 
 def n_generations(spark, d):
