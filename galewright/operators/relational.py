@@ -114,6 +114,33 @@ def shared_fitness(df: DataFrame, group: str, row_id: str, position: str, fitnes
     return near.select(group, row_id, "fitness", "n_near", (F.col("fitness") / F.col("n_near")).alias("share"))
 
 
+def agreeing_pairs(df: DataFrame, unit: Sequence[str], error: str, text: Sequence[str], limit: float) -> DataFrame:
+    """Per unit, all pairs of its rows (``n_compared``) and those that agree (``n_agree``): the same text, or errors less than ``limit`` apart.
+
+    ``text`` are the columns that make up a row's content, the error among them: rows of the same text have the same error, so
+    the text only decides where the error is null or not finite. Units with a null key or with one row have no pairs.
+
+    No pairs are made. Equal errors are counted together and each is compared with the greater ones by a range frame, in
+    buckets twice as wide as the limit that borrow the next one's rows. What lies so close to the limit that the
+    frame's rounding matters is compared by the difference itself.
+    """
+    at, wide, near = F.col(error).cast("double"), 2 * float(limit), float(limit) * 1e-5
+    finite = at.isNotNull() & ~F.isnan(at) & (F.abs(at) < F.lit(float("inf")))
+    known = df.where(" AND ".join(f"`{u}` IS NOT NULL" for u in unit))
+    rows = known.groupBy(*unit, F.when(finite, at).alias("__at"), F.when(~finite, F.struct(*text)).alias("__text")).agg(F.count("*").alias("__n"))
+    own = F.floor(F.col("__at") / wide)
+    spread = rows.drop("__text").select("*", own.alias("__own"), F.explode(F.when(own.isNull(), F.array(own)).otherwise(F.array(own, own - 1))).alias("__bucket"))
+    over = f"OVER (PARTITION BY {', '.join(f'`{u}`' for u in unit)}, __bucket ORDER BY __at RANGE BETWEEN"
+    counted = spread.withColumn("__sure", F.expr(f"sum(__n) {over} CURRENT ROW AND {limit - near!r}D FOLLOWING)") - F.col("__n"))
+    counted = counted.withColumn("__edge", F.expr(f"collect_list(struct(__at, __n)) {over} {limit - near!r}D FOLLOWING AND {limit + near!r}D FOLLOWING)"))
+    close = F.filter("__edge", lambda e: (e["__at"] > F.col("__at") + F.lit(limit - near)) & (e["__at"] - F.col("__at") < limit))
+    greater = F.col("__sure") + F.aggregate(close, F.lit(0).cast("bigint"), lambda a, e: a + e["__n"])
+    same, n = F.expr("__n * (__n - 1) div 2"), F.sum("__n")
+    agree = F.sum(same + F.when(F.col("__own").isNull(), F.lit(0)).otherwise(F.col("__n") * greater))
+    per = counted.where("__bucket <=> __own").groupBy(*unit).agg(agree.alias("n_agree"), n.alias("__n"))
+    return per.where("__n > 1").select(*unit, "n_agree", F.expr("__n * (__n - 1) div 2").alias("n_compared"))
+
+
 def share_outliers(shared: DataFrame, group: str) -> DataFrame:
     """Members whose share is above mean + 3 * sqrt(sum of squares / (n - 1)) of their group."""
     spread = F.sqrt(F.sum(F.col("share") * F.col("share")) / F.nullif(F.count("*") - 1, F.lit(0)))

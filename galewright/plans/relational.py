@@ -180,11 +180,9 @@ def upsert_rows(spark, d):
 
 
 def agreeing_results(spark, d):
-    """Pairs of results of one work unit (part and supplier) that agree: the same text, or prices less than 100 apart. Neighbours in order of
-    price are compared, so that a unit's results make no pairs of all with all."""
-    w = Window.partitionBy("l_partkey", "l_suppkey").orderBy("l_extendedprice", "l_orderkey", "l_linenumber")
-    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", F.lag("l_extendedprice").over(w).alias("before"))
-    return li.where("before IS NOT NULL").groupBy("l_partkey", "l_suppkey").agg(F.count_if(F.col("l_extendedprice") - F.col("before") < 100).alias("n_agree"), F.count("*").alias("n_compared"))
+    """Pairs of results of one work unit (part and supplier) that agree: the same text, or prices less than 100 apart. All pairs count."""
+    text = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+    return R.agreeing_pairs(table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_extendedprice", text, 100.0)
 
 
 def best_flags(spark, d):
