@@ -2,8 +2,8 @@
 generation.
 
 A generation is one Spark job: genomes are rows, each is trained by one task (`applyInPandas` per genome) on the episodes
-that were drawn for it. The episodes of a generation are bounded by the configuration (training + validation), not by
-the data: only they are shipped. Decisions about tens of genomes stay on the driver.
+that were drawn for it. Episodes stay on the cluster: the driver knows their ids and fetches those of one generation, whose
+number the configuration bounds (training + validation + test); only they are shipped. Decisions about tens of genomes stay on the driver.
 """
 
 from __future__ import annotations
@@ -114,11 +114,10 @@ class OnlineRun:
 
     def __init__(self, spark: SparkSession, episodes: DataFrame, spec: SeriesSpec, config: RunConfig, batch: int = 1):
         self.spark, self.spec, self.config, self.batch = spark, spec, config, batch
-        # The run looks at the episodes up to its last generation's test: a number that the configuration bounds.
+        # The run looks at the episodes up to its last generation's test. In order of id, so that a generation's episodes are found by few blocks.
         needed = config.generations + config.training_episodes + config.validation_episodes + 1
-        rows = episodes.orderBy("episode_id").limit(needed).toPandas()
-        self.ids = [int(k) for k in rows["episode_id"]]
-        self.x, self.y = _arrays(rows)
+        self.episodes = episodes.select("episode_id", "x", "y").repartitionByRange("episode_id").sortWithinPartitions("episode_id").persist()
+        self.ids = sorted(int(r[0]) for r in self.episodes.select("episode_id").collect())[:needed]
         self.population = Islands(config, seed_genome(list(spec.inputs), list(spec.outputs)))
         self.mse = np.ones(len(self.ids))
         self.best: Genome | None = None
@@ -130,6 +129,10 @@ class OnlineRun:
     def generations(self) -> int:
         return max(0, min(self.config.generations, len(self.ids) - self.config.training_episodes - self.config.validation_episodes))
 
+    def _fetch(self, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The episodes at these places, which must rise."""
+        return _arrays(self.episodes.where(F.col("episode_id").isin([self.ids[k] for k in places])).toPandas())
+
     def _draw(self, generation: int, genome_id: int) -> list[int]:
         """Places of training episodes for one genome: uniform, or by priority, without replacement."""
         c = self.config
@@ -151,7 +154,8 @@ class OnlineRun:
         elites = [g for i in p.islands for g in i.elite]
         used = sorted({k for d in drawn.values() for k in d} | set(validation))
         place = {k: j for j, k in enumerate(used)}
-        shared = self.spark.sparkContext.broadcast((self.x[used], self.y[used]))  # at most all drawn episodes of a generation
+        all_x, all_y = self._fetch(used + [test] * (test < len(self.ids)))
+        shared = self.spark.sparkContext.broadcast((all_x[: len(used)], all_y[: len(used)]))  # at most all drawn episodes of a generation
         inputs, iterations, batch, update, rate, seed = list(self.spec.inputs), c.iterations, self.batch, c.update, c.learning_rate, c.seed
         held = [place[k] for k in validation]
         work = [{"genome_id": g.genome_id, "genome": json.dumps(g.to_row()), "episodes": [place[k] for k in drawn[g.genome_id]]} for g in genomes]
@@ -180,7 +184,7 @@ class OnlineRun:
         shared.destroy()
         row = {"generation": generation, "test_episode": self.ids[test] if test < len(self.ids) else -1, "best_validation_mse": self.best.fitness if self.best else math.nan, "naive_mse": math.nan, "model_mse": math.nan}
         if self.best and test < len(self.ids):
-            y, predicted = self.y[test], predict(self.best, self.x[test : test + 1], inputs)[0]
+            y, predicted = all_y[-1], predict(self.best, all_x[-1:], inputs)[0]
             row["naive_mse"], row["model_mse"] = float(((y[1:] - y[:-1]) ** 2).mean()), float(((y[1:] - predicted[1:]) ** 2).mean())
             p.compare(generation, row["naive_mse"], row["model_mse"])
         row["erased_island"] = p.repopulate(generation)
@@ -203,7 +207,8 @@ class OnlineRun:
             self.mse[generation] = min(fits)
         low = max(0, generation - self.config.training_episodes)
         self.mse[low:generation] = 0.7 * self.mse[low:generation] + 0.3 * float(np.mean(fits))
-        self.priority_log += [{"generation": generation, "episode_id": self.ids[k], "mse": float(m)} for k, m in enumerate(self.mse)]
+        # What a generation changed; the other episodes keep what they had, 1 at first.
+        self.priority_log += [{"generation": generation, "episode_id": self.ids[k], "mse": float(self.mse[k])} for k in range(low, min(generation + 1, len(self.mse)))]
 
     def save(self, path: str) -> None:
         """The run's state as one row of JSON, in a file system that the cluster shares."""
@@ -228,6 +233,7 @@ class OnlineRun:
     def run(self) -> DataFrame:
         for g in range(len(self.log), self.generations):
             self.step(g)
+        self.episodes.unpersist()
         return self.spark.createDataFrame(pd.DataFrame(self.log).astype({"erased_island": "float64"}))
 
 

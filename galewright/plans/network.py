@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -58,9 +60,9 @@ def kfold_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evolve_small(spark: SparkSession, d: str) -> DataFrame:
-    """Three generations of an online run on two islands."""
+    """An online run on two islands over all episodes: as many generations as they give."""
     data, spec = _training(spark, d)
-    config = RunConfig(islands=2, island_size=3, generated=2, generations=3, iterations=1, training_episodes=10, validation_episodes=2, seed=3)
+    config = RunConfig(islands=2, island_size=3, generated=2, generations=sys.maxsize, iterations=1, training_episodes=10, validation_episodes=2, seed=3)
     log = online.OnlineRun(spark, data, spec, config, batch=5).run()
     return log.select("generation", "test_episode", r("best_validation_mse").alias("best_validation_mse"), r("naive_mse").alias("naive_mse"), r("model_mse").alias("model_mse"))
 

@@ -64,3 +64,10 @@ def test_agreeing_results_equal_the_self_join(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/many/lineitem.parquet/*.parquet'")
     assert got == sorted(con.execute(AGREEING).fetchall())
+
+
+def test_the_run_goes_on_to_the_last_episode(spark, tmp_path):
+    log = core_queries()["evolve_small"](spark, write_events(spark, tmp_path / "run", 20)).orderBy("generation").collect()
+    # The last row has no next value, so that the last episode isn't full: 19 stay.
+    assert [(r["generation"], r["test_episode"]) for r in log] == [(g, g + 12) for g in range(19 - 12)]
+    assert all(r["naive_mse"] >= 0 and r["model_mse"] >= 0 for r in log)
