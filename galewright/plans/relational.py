@@ -364,9 +364,10 @@ def activations(spark, d):
 
 
 def array_functions(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda v: v.cast("double")).alias("v"))
+    """Of whole vectors. The product of 64 small numbers is too small to be rounded to decimals."""
+    e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
     s = X.softmax(F.col("v"))
-    return e.select("vec_id", r(X.norm(F.col("v"))).alias("norm"), (r(X.product(F.col("v")), 9) + 0.0).alias("product"), r(s[0]).alias("p0"), X.argmax(F.col("v")).cast("bigint").alias("argmax"), r(F.array_max(X.keep_top(s, 3))).alias("top3"))
+    return e.select("vec_id", r(X.norm(F.col("v"))).alias("norm"), (X.product(F.col("v")) + 0.0).alias("product"), r(s[0]).alias("p0"), X.argmax(F.col("v")).cast("bigint").alias("argmax"), r(F.array_max(X.keep_top(s, 3))).alias("top3"))
 
 
 def clamped_moments(spark, d):

@@ -71,3 +71,16 @@ def test_the_run_goes_on_to_the_last_episode(spark, tmp_path):
     # The last row has no next value, so that the last episode isn't full: 19 stay.
     assert [(r["generation"], r["test_episode"]) for r in log] == [(g, g + 12) for g in range(19 - 12)]
     assert all(r["naive_mse"] >= 0 and r["model_mse"] >= 0 for r in log)
+
+
+def test_array_functions_take_whole_vectors(spark, tmp_path):
+    vectors = np.random.default_rng(2).normal(0, 0.4, (5, 64)).astype("float32")
+    vectors[:, 40] = 3.0  # the greatest
+    spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = core_queries()["array_functions"](spark, str(tmp_path)).orderBy("vec_id").toPandas()
+    v = vectors.astype(float)
+    p = np.exp(v) / np.exp(v).sum(1, keepdims=True)
+    assert np.allclose(got["norm"], np.linalg.norm(v, axis=1), atol=1e-6) and (got["argmax"] == 40).all()
+    assert np.allclose(got["product"], v.prod(1), rtol=1e-9, atol=0) and (got["product"] != 0).all()
+    assert np.allclose(got["p0"], p[:, 0], atol=1e-6)
+    assert np.allclose(got["top3"], p.max(1) / np.sort(p, 1)[:, -3:].sum(1), atol=1e-6)
