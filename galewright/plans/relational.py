@@ -443,8 +443,9 @@ ORACLES = {
     "is_null_flag": "SELECT exact_id, count(*) FILTER (test_error IS NULL) AS n_untested, count(*) AS n FROM cnn_genome GROUP BY exact_id",
     "update_set": "SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END, 2) AS o_totalprice FROM orders",
     "upsert_rows": "SELECT s_suppkey, round(CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE s_acctbal END, 2) AS s_acctbal FROM supplier",
-    "agreeing_results": """WITH x AS (SELECT l_partkey, l_suppkey, l_extendedprice AS p, lag(l_extendedprice) OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_extendedprice, l_orderkey, l_linenumber) AS before FROM lineitem)
-    SELECT l_partkey, l_suppkey, count(*) FILTER (p - before < 100) AS n_agree, count(*) AS n_compared FROM x WHERE before IS NOT NULL GROUP BY ALL""",
+    "agreeing_results": """WITH x AS (SELECT row_number() OVER () AS k, l_extendedprice AS p, l_partkey, l_suppkey, (l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS content FROM lineitem)
+    SELECT a.l_partkey, a.l_suppkey, count(*) FILTER (a.content IS NOT DISTINCT FROM b.content OR isfinite(a.p) AND isfinite(b.p) AND abs(a.p - b.p) < 100) AS n_agree, count(*) AS n_compared
+    FROM x a JOIN x b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.k < b.k GROUP BY ALL""",
     "best_flags": """WITH x AS (SELECT DISTINCT * FROM exact_search WHERE deleted_at IS NULL) SELECT id, id // 20 AS bucket, genomes_generated = min(genomes_generated) OVER (PARTITION BY id // 20) AS best_genomes_generated,
     population_size = min(population_size) OVER (PARTITION BY id // 20) AS best_population_size FROM x""",
     "bucket_averages": "SELECT id // 20 AS bucket, round(avg(genomes_generated), 6) AS avg_generated, round(avg(inserted_genomes), 6) AS avg_inserted FROM (SELECT DISTINCT * FROM exact_search WHERE deleted_at IS NULL) GROUP BY ALL",
@@ -485,8 +486,8 @@ ORACLES = {
     "activations": """WITH x AS (SELECT *, (l_quantity - 25) / 10 AS x, 1 / (1 + exp(-(l_quantity - 25) / 10)) AS s FROM lineitem) SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(s, 6) AS sigmoid, round(s * (1 - s), 6) AS sigmoid_slope,
     round(2 / (1 + exp(-2 * x)) - 1, 6) AS tanh, round(1 - (2 / (1 + exp(-2 * x)) - 1) ** 2, 6) AS tanh_slope, round(x * s, 6) AS swish, round(s + x * s * (1 - s), 6) AS swish_slope, round(greatest(0.01::DOUBLE * x, x), 6) AS leaky,
     round(CASE WHEN x * 4 <= 0 THEN x * 4 * 0.005::DOUBLE WHEN x * 4 > 5.5 THEN 5.5 ELSE x * 4 END, 6) AS clamped, round(least(greatest(x * 6, -10), 10), 6) AS bound, round(1 / nullif(x, 0), 6) AS inverse, round(sin(x), 6) AS sin, round(cos(x), 6) AS cos FROM x""",
-    "array_functions": """WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: v::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, v, list_transform(v, lambda a: exp(a)) AS e FROM x), s AS (SELECT *, list_transform(e, lambda a: a / list_sum(e)) AS s FROM e)
-    SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda a: a * a))), 6) AS norm, round(list_product(v), 9) + 0.0::DOUBLE AS product, round(s[1], 6) AS p0, list_position(v, list_max(v)) - 1 AS argmax, round(list_max(s) / list_sum(list_reverse_sort(s)[1:3]), 6) AS top3 FROM s""",
+    "array_functions": """WITH x AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS v FROM embeddings), e AS (SELECT vec_id, v, list_transform(v, lambda a: exp(a)) AS e FROM x), s AS (SELECT *, list_transform(e, lambda a: a / list_sum(e)) AS s FROM e)
+    SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda a: a * a))), 6) AS norm, list_product(v) AS product, round(s[1], 6) AS p0, list_position(v, list_max(v)) - 1 AS argmax, round(list_max(s) / list_sum(list_reverse_sort(s)[1:3]), 6) AS top3 FROM s""",
     "clamped_moments": """WITH x AS (SELECT user_id, (value - 50) / 3.7::DOUBLE AS v FROM events), m AS (SELECT user_id, avg(least(greatest(v, -10), 10)) AS mu FROM x GROUP BY user_id)
     SELECT user_id, round(any_value(mu), 9) AS mu, round(sqrt(sum((v - mu) ** 2) / (count(*) - 1)), 9) AS sigma FROM x JOIN m USING (user_id) GROUP BY user_id""",
     "label_text": "SELECT DISTINCT search_name, replace(replace(concat(search_name, '_norec'), '_norec', ''), '_', '+') AS label, search_name AS stem FROM exact_search",

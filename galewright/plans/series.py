@@ -317,8 +317,8 @@ ORACLES = {
     "episode_stats": f"WITH {_EP} SELECT episode_id, count(*) AS n, round(avg(value), 6) AS avg_value FROM ep GROUP BY episode_id",
     "split_n": f"""WITH {_E}, n AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id), b AS (SELECT user_id, k AS slice_no, CAST(floor(k * n / 7) AS BIGINT) AS a, CAST(floor((k + 1) * n / 7) AS BIGINT) AS z
     FROM n, (SELECT unnest(range(0, 7)) AS k)) SELECT e.user_id, slice_no, count(*) AS n, min(t) AS first_t FROM e JOIN b ON e.user_id = b.user_id AND t >= a AND t < z GROUP BY ALL""",
-    "train_val_test_windows": f"""WITH {_EP}, i AS (SELECT DISTINCT episode_id FROM ep) SELECT g AS generation, episode_id, CASE WHEN episode_id < g + 10 THEN 'train' WHEN episode_id < g + 13 THEN 'validation' ELSE 'test' END AS role
-    FROM i, (SELECT unnest(range(0, 40)) AS g) WHERE episode_id <= g + 13""",
+    "train_val_test_windows": f"""WITH {_EP}, i AS (SELECT DISTINCT episode_id FROM ep), n AS (SELECT count(*) AS n FROM i) SELECT g AS generation, episode_id, CASE WHEN episode_id < g + 10 THEN 'train' WHEN episode_id < g + 13 THEN 'validation' ELSE 'test' END AS role
+    FROM i JOIN (SELECT unnest(range(0, greatest(n - 14, 0))) AS g FROM n) ON episode_id <= g + 13""",
     "n_generations": f"WITH {_EP} SELECT count(DISTINCT episode_id) - 14 AS n_generations FROM ep",
     "kfold_assign": "SELECT n_nationkey AS series, f AS fold, CASE WHEN n_nationkey // 5 = f THEN 'test' ELSE 'train' END AS role FROM nation, (SELECT unnest(range(0, 5)) AS f)",
     "loo_assign": "SELECT r_regionkey AS series, f AS fold, CASE WHEN r_regionkey = f THEN 'test' ELSE 'train' END AS role FROM region, (SELECT unnest(range(0, 5)) AS f)",
