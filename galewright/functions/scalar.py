@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,11 +56,14 @@ def norm(values: Column) -> Column:
     return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x))
 
 
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once per row; inside a lambda an expression would be worked out for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(values: Column) -> Column:
-    top = F.array_max(values)
-    e = F.transform(values, lambda v: F.exp(v - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda v: v / total)
+    scaled = lambda e: bound_once(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda v: v / total))
+    return bound_once(F.array_max(values), lambda top: bound_once(F.transform(values, lambda v: F.exp(v - top)), scaled))
 
 
 def argmax(values: Column) -> Column:
@@ -68,19 +73,27 @@ def argmax(values: Column) -> Column:
 
 def keep_top(probabilities: Column, k: int) -> Column:
     """The k greatest probabilities over their sum; 0 for the others. Ties at the limit go to the earlier places."""
-    ranked = F.slice(F.array_sort(F.transform(probabilities, lambda v, i: F.struct((-v).alias("a"), i.alias("i")))), 1, k)
-    kept = F.transform(ranked, lambda s: s["i"])
-    total = F.aggregate(ranked, F.lit(0.0), lambda a, s: a - s["a"])
-    return F.transform(probabilities, lambda v, i: F.when(F.array_contains(kept, i), v / total).otherwise(0.0))
+
+    def kept(p: Column) -> Column:
+        ranked = F.slice(F.array_sort(F.transform(p, lambda v, i: F.struct((-v).alias("a"), i.alias("i")))), 1, k)
+        return bound_once(ranked, lambda r: bound_once(F.aggregate(r, F.lit(0.0), lambda a, s: a - s["a"]), lambda total: shares(p, r, total)))
+
+    def shares(p: Column, ranked: Column, total: Column) -> Column:
+        return F.transform(p, lambda v, i: F.when(F.exists(ranked, lambda s: s["i"] == i), v / total).otherwise(0.0))
+
+    return bound_once(probabilities, kept)
 
 
 def clamped_mean_sd(values: Column, limit: float = 10.0) -> Column:
     """struct(mu, sigma): the mean of values clamped to the limit and the sample deviation of the unclamped ones around it; (0, 0.25) for none."""
     n = F.size(values)
-    mu = F.aggregate(values, F.lit(0.0), lambda a, x: a + bound(x, limit)) / F.nullif(n, F.lit(0))
-    square = F.aggregate(F.transform(values, lambda x: (x - mu) * (x - mu)), F.lit(0.0), lambda a, x: a + x)
-    sigma = F.sqrt(square / F.nullif(n - 1, F.lit(0)))
-    return F.struct(F.coalesce(mu, F.lit(0.0)).alias("mu"), F.when(n == 0, 0.25).otherwise(F.coalesce(sigma, F.lit(0.0))).alias("sigma"))
+
+    def around(mu: Column) -> Column:
+        square = F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mu) * (x - mu))
+        sigma = F.sqrt(square / F.nullif(n - 1, F.lit(0)))
+        return F.struct(F.coalesce(mu, F.lit(0.0)).alias("mu"), F.when(n == 0, 0.25).otherwise(F.coalesce(sigma, F.lit(0.0))).alias("sigma"))
+
+    return bound_once(F.aggregate(values, F.lit(0.0), lambda a, x: a + bound(x, limit)) / F.nullif(n, F.lit(0)), around)
 
 
 def structural_hash(nodes: Column, edges: Column, recurrent: Column) -> Column:
