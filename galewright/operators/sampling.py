@@ -7,25 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_PRIME = 2147483647
+# Three rounds of multiply, add, shift and exclusive or, in 31 bits so that products fit into a signed 64-bit integer.
+_BITS = (1 << 31) - 1
+_ROUNDS = ((73_244_475, 15), (741_103_597, 13), (1_540_483_477, 16))
+_SALTS = (0, 362_437)
 
 
 def hash_unit(key: Column, seed: int) -> Column:
-    """A number in (0, 1) from an integer key, by three rounds of a multiplicative hash in 64-bit integers that any SQL engine can repeat."""
-    x = F.pmod(key.cast("bigint"), F.lit(_PRIME))
-    for a, b in ((48271, seed % 1_000_003 + 11), (69621, 12345), (40692, 977)):
-        x = F.pmod(x * F.lit(a) + F.lit(b), F.lit(_PRIME))
-        x = F.pmod(F.pmod(x, F.lit(65536)) * F.lit(32768) + F.floor(x / 65536), F.lit(_PRIME))
-    return (x + 0.5) / float(_PRIME)
+    """A number in (0, 1) from the lower 62 bits of an integer key: two 31-bit words, each of three multiply and shift rounds
+    in integers that any SQL engine can repeat."""
+    k, bits = key.cast("bigint"), F.lit(_BITS).cast("bigint")
+    low, high = k.bitwiseAND(bits), F.shiftright(k, 31).bitwiseAND(bits)
+    words = []
+    for salt in _SALTS:
+        x = low
+        for n, (a, shift) in enumerate(_ROUNDS):
+            x = (x * F.lit(a) + F.lit((seed + salt) * 40_014 + 11) + (high * F.lit(69_621) if n == 1 else F.lit(0))).bitwiseAND(bits)
+            x = x.bitwiseXOR(F.shiftright(x, shift))
+        words.append(x)
+    return (words[0] + (words[1] + 0.5) / float(_BITS + 1)) / float(_BITS + 1)
 
 
 def hash_unit_sql(key: str, seed: int) -> str:
-    """The same number as SQL text."""
-    x = f"(({key}) % {_PRIME})"
-    for a, b in ((48271, seed % 1_000_003 + 11), (69621, 12345), (40692, 977)):
-        x = f"(({x} * {a} + {b}) % {_PRIME})"
-        x = f"((({x} % 65536) * 32768 + {x} // 65536) % {_PRIME})"
-    return f"(({x} + 0.5::DOUBLE) / {_PRIME})"
+    """The same number as SQL text, for keys that aren't negative."""
+    words = []
+    for salt in _SALTS:
+        x = f"(({key}) & {_BITS})"
+        for n, (a, shift) in enumerate(_ROUNDS):
+            x = f"(({x} * {a} + {(seed + salt) * 40_014 + 11}" + (f" + ((({key}) >> 31) & {_BITS}) * 69621" if n == 1 else "") + f") & {_BITS})"
+            x = f"xor({x}, {x} >> {shift})"
+        words.append(x)
+    return f"(({words[0]} + ({words[1]} + 0.5::DOUBLE) / {_BITS + 1}) / {_BITS + 1})"
 
 
 def uniform_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
