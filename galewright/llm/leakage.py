@@ -3,7 +3,8 @@
 Each task builds an FM-index over shards of its documents: words become the ids of the test items' vocabulary, a suffix
 array gives the Burrows-Wheeler transform, and a wavelet matrix answers its ranks. All phrases of all items are searched
 backwards at once; occurrences are located by walking to sampled suffix positions. Hits of a document and item are
-merged to spans, and a local alignment of the item against each dense span decides. Documents never leave their
+merged to spans, and a local alignment of the item against each dense span decides. The spans come out with the pair, and
+those of all items merge to what has to be removed from a document. Documents never leave their
 partition, so the job has no shuffle, and each shard is bounded by a number of words, not of documents.
 """
 
@@ -18,12 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Letters of other scripts that look like Latin ones, and the Latin letters.
 LOOKALIKES = str.maketrans("аеорсухкмтнвіјѕԁӏɡοανρτικεβμηυ", "aeopcyxkmthbijsdlgoavptikebmnu")
-_TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
+_TAG = re.compile(r"</?[a-zA-Z][^<>]*+>")
 _BREAK = re.compile(r"(?<=\w)(?:-|‐|­)[ \t]*\r?\n[ \t]*(?=\w)")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+(?:[.,]\d+)*")
@@ -198,9 +199,9 @@ def align(item: np.ndarray, doc: np.ndarray, mismatch: float = 2.0, gap: float =
 class Searcher:
     """The items' side: vocabulary, phrases and the decision about a document and an item."""
 
-    def __init__(self, items: list[tuple[int, str]], phrase: int = 4, least: int = 15, piece: int = 8, pieces: int = 20, changes: float = 0.22):
+    def __init__(self, items: list[tuple[int, str]], phrase: int = 4, least: int = 15, changes: float = 0.22):
         words = [words_of(t) for _, t in items]
-        self.item_ids, self.phrase, self.least, self.piece, self.both, self.changes = [i for i, _ in items], phrase, least, piece, pieces, changes
+        self.item_ids, self.phrase, self.least, self.changes = [i for i, _ in items], phrase, least, changes
         self.vocabulary = Vocabulary(words)
         self.items = [self.vocabulary.encode(w) for w in words]
         own = [(w[k : k + phrase], i, k) for i, w in enumerate(self.items) for k in range(len(w) - phrase + 1)]
@@ -213,9 +214,29 @@ class Searcher:
         self.needs: dict[tuple[int, int], int] = {}
         self.needed = np.array([[self.needed_for(r, len(w)) for r in range(self.least + 1)] for w in self.items], np.int64).reshape(-1, self.least + 1)
         self.owner = np.array([x for o in owners for x in o], np.int64).reshape(-1, 2)
+        # A phrase of many different items is a way of asking, which tells no item from another.
+        texts = {tuple(w): k for k, w in enumerate(map(tuple, self.items))}
+        usual = max(4, len(texts) // 100)
+        self.telling = [np.zeros(max(0, len(w) - phrase + 1), np.int64) for w in self.items]
+        for o in owners:
+            if len({texts[tuple(self.items[i])] for i, _ in o}) <= usual:
+                for i, k in o:
+                    self.telling[i][k] = 1
+        # Counts of telling phrases before each place, and places of numbers, of all items one after the other.
+        self.item_at = np.r_[0, np.cumsum([len(w) + 1 for w in self.items])].astype(np.int64)
+        self.told = np.zeros(self.item_at[-1] + 1, np.int64)
+        self.number = np.zeros(self.item_at[-1] + 1, bool)
+        for k, (w, t) in enumerate(zip(words, self.telling)):
+            a = self.item_at[k]
+            self.told[a + 1 : a + 1 + len(t)] = np.cumsum(t)
+            self.told[a + 1 + len(t) : a + len(w) + 1] = t.sum()
+            self.number[a : a + len(w)] = [any(c.isdigit() for c in x) for x in w]
+        # Items of fewer words than a phrase are looked for as they are.
+        self.short = [(k, w) for k, w in enumerate(self.items) if 0 < len(w) < phrase]
+        self.shortest = min([phrase, *(len(w) for _, w in self.short)])
 
     def allowed(self, size: int, least: int) -> int:
-        """Changed, dropped or added words that a passage of ``size`` words may have."""
+        """Changed, dropped or added words that a passage of ``size`` words may have for the alignment; for one in shorter passages see `pieces`."""
         return int(self.changes * (size - least))
 
     def needed_for(self, run: int, length: int) -> int:
@@ -235,27 +256,55 @@ class Searcher:
             self.needs[key] = best
         return self.needs[key]
 
-    def leaked(self, runs: np.ndarray, item: np.ndarray, doc: np.ndarray) -> bool:
-        """Whether a document holds a passage of an item, given their unchanged runs (item from, item to, diagonal).
+    def pieces(self, pair: np.ndarray, which: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the runs (item from, item to, diagonal) of all pairs: numbers of two runs of a pair that make up a passage of ``least`` words.
 
-        A passage is ``least`` words in a row (or the whole of a shorter item) with few changes; or two pieces of ``piece``
-        words and more that follow each other in the item and make up ``pieces`` unchanged words: more than one piece must
-        have, because boilerplate puts common phrases side by side. The counts of `need` rule
-        out most pairs; an alignment decides about the others.
+        They follow each other in the item, wherever they stand in the document; or they stand side by side in the
+        document and one word of the item between them, no number, is changed or dropped there. Each must hold
+        a phrase that tells the item from others, because ways of asking stand side by side by chance.
         """
+        begin, end, line = runs[:, 0], runs[:, 1], runs[:, 2]
+        at = self.item_at[which]
+        sound = np.nonzero(self.told[at + np.maximum(begin, end - self.phrase + 1)] > self.told[at + begin])[0]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if not len(sound):
+            return sound, sound
+        pair, begin, end, line, at = pair[sound], begin[sound], end[sound], line[sound], at[sound]
+        reach = int(end.max()) + self.phrase + 2
+
+        def match(have: np.ndarray, want: np.ndarray, least_begin: bool) -> None:
+            order = np.lexsort((begin, have)) if least_begin else np.argsort(have, kind="stable")
+            sorted_have = have[order]
+            place = np.minimum(np.searchsorted(sorted_have, want), len(sorted_have) - 1)
+            hit = np.nonzero(sorted_have[place] == want)[0]
+            first = order[place[hit]]
+            good = (end[hit] - begin[first] >= self.least) & (begin[first] < begin[hit]) & (end[first] < end[hit])
+            found.append((first[good], hit[good]))
+
+        by_end = pair * reach + end
+        for shared in range(self.phrase):  # both runs may hold the words at the break, if they stand on both sides of it
+            match(by_end, pair * reach + begin + shared, True)
+        lines = int(line.max() - line.min()) + 3
+        by_line = by_end * lines + (line - line.min())
+        for moved in (0, 1):
+            want = (pair * reach + begin - 1) * lines + (line - line.min()) + moved
+            match(by_line, np.where((begin > 0) & ~self.number[at + begin - 1], want, -1), False)
+        return sound[np.concatenate([a for a, _ in found])], sound[np.concatenate([b for _, b in found])]
+
+    def leaked(self, runs: np.ndarray, which: int, doc: np.ndarray) -> list[tuple[int, int]]:
+        """The spans (from, to) of a document's words that hold a passage of an item, none if it isn't leaked; the runs are
+        unchanged ones (item from, item to, diagonal).
+
+        A passage is ``least`` words in a row (or the whole of a shorter item) with few changes; those with one change or a break
+        are found by `pieces` before. The counts of `needed_for` rule out most pairs; an alignment decides about the others.
+        """
+        item = self.items[which]
         length = len(item)
         least = min(self.least, length)
         begin, end, line = runs[:, 0], runs[:, 1], runs[:, 2]
         size = end - begin
         if size.max() >= least:
-            return True
-        long = size >= self.piece
-        if long.sum() > 1:
-            ends = {}
-            for z, n in zip(end[long].tolist(), size[long].tolist()):
-                ends[z] = max(n, ends.get(z, 0))
-            if any(n + ends.get(a, -self.both) >= self.both for a, n in zip(begin[long].tolist(), size[long].tolist())):
-                return True
+            return [(int(x[0] + x[2]), int(x[1] + x[2])) for x in runs[size >= least]]
         # The runs of one passage lie on diagonals no further apart than its changes.
         width = max(1, self.allowed(length, least))
         for shift in (0, width):
@@ -272,28 +321,43 @@ class Searcher:
                 high = min(len(doc), int((line[own] + end[own]).max()) + length + width)
                 matched, a, z, b, e = align(item, doc[low:high])
                 if z - a >= least and max(z - a, e - b) - matched <= self.allowed(z - a, least):
-                    return True
-        return False
+                    return [(low + b, low + e)]
+        return []
 
-    def shard(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """(document, item) of each pair with a leaked passage, by their places in the lists."""
-        if not docs or not len(self.phrases):
+    def shard(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, from, to) of each leaked passage: places in the lists, and the span in the document's words."""
+        if not docs or not self.items:
             return
         starts = np.r_[0, np.cumsum([len(d) + 1 for d in docs])]
         text = np.zeros(starts[-1], np.int32)
         for d, a in zip(docs, starts):
             text[a : a + len(d)] = d
-        # A run of other words says no more than one of them.
+        # A run of other words says no more than one of them; nor does a run of known words too short for any phrase.
+        known = text != 0
+        edge = np.nonzero(np.r_[True, known[1:] != known[:-1]])[0]
+        size = np.diff(np.r_[edge, len(text)])
+        text = np.where(np.repeat(size, size) >= self.shortest, text, 0) if self.shortest > 1 else text
         keep = np.r_[True, (text[1:] != 0) | (text[:-1] != 0)]
         back = np.nonzero(keep)[0]
         index = FMIndex(text[keep], len(self.vocabulary.ids))
-        lo, hi = index.search(self.phrases)
-        size = hi - lo
-        which = np.repeat(np.arange(len(size)), size)
+
+        def places(phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Which phrase stands where."""
+            lo, hi = index.search(phrases)
+            size = hi - lo
+            which = np.repeat(np.arange(len(size)), size)
+            rows = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+            return which, back[index.locate(rows)]
+
+        for k, w in self.short:
+            _, at = places(w[None, :])
+            for a, d in zip(at.tolist(), (np.searchsorted(starts, at, "right") - 1).tolist()):
+                yield d, k, a - int(starts[d]), a - int(starts[d]) + len(w)
+        if not len(self.phrases):
+            return
+        which, at = places(self.phrases)
         if not len(which):
             return
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        at = back[index.locate(rows)]
         doc = np.searchsorted(starts, at, "right") - 1
         n_own = self.owner_at[which + 1] - self.owner_at[which]
         many = np.repeat(np.arange(len(which)), n_own)
@@ -312,10 +376,14 @@ class Searcher:
         ends = np.r_[cut[1:], len(owner)]
         longest, covered = np.maximum.reduceat(size, cut), np.add.reduceat(size, cut)
         which_item = hits[begin[cut], 1]
-        enough = (longest * 2 >= self.both) | (covered >= self.needed[which_item, np.minimum(longest, self.least)])
+        a, b = self.pieces(owner, hits[begin, 1], runs)
+        for k in np.r_[a, b]:
+            yield int(hits[begin[k], 0]), int(hits[begin[k], 1]), int(runs[k, 0] + runs[k, 2]), int(runs[k, 1] + runs[k, 2])
+        enough = (longest >= self.least) | (covered >= self.needed[which_item, np.minimum(longest, self.least)])
+        enough &= ~np.isin(owner[cut], owner[a])
         for a, z, d, i in zip(cut[enough], ends[enough], hits[begin[cut[enough]], 0].tolist(), which_item[enough].tolist()):
-            if self.leaked(runs[a:z], self.items[i], docs[d]):
-                yield d, i
+            for b, e in self.leaked(runs[a:z], i, docs[d]):
+                yield d, i, b, e
 
 
 @functools.lru_cache(maxsize=4)
@@ -323,23 +391,29 @@ def _searcher(items: tuple[tuple[int, str], ...]) -> Searcher:
     return Searcher(list(items))
 
 
-def leaked_items(
+def leaked_spans(
     df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text",
-    shard_words: int = 200_000, block_items: int = 2_000, most_items: int = 200_000,
+    shard_words: int = 200_000, block_chars: int = 8_000_000,
 ) -> DataFrame:
-    """``(key, item_key)`` of each document that holds an item's text or a passage of 15 words and more of it.
+    """``(key, item_key, first_word, past_word)``: where each document holds an item's text or a passage of 15 words and more of it,
+    in words of the text as `words_of` reads it, from 0.
 
-    Case, marks, blanks, tags, lookalike letters, line-break hyphens and one-letter slips don't matter; some words may
-    be changed, and a passage may be broken in two. The items are a stated query set of bounded size (``most_items``
-    at most, else an error); they are searched in blocks of ``block_items`` against all documents. Items of
-    under four words find nothing, null and empty texts hold nothing; a document key that stands in several rows comes out for each of them.
+    Case, marks, blanks, tags, lookalike letters, line-break hyphens and one-letter slips don't matter; a word may be
+    changed (more in long passages), and a passage may be broken in two. Items of under 15 words count as a whole only, those of under four unchanged. The items are a
+    stated query set of any size: they are fetched in blocks of at most ``block_chars`` characters (a longer item is a block
+    of its own), each of which is searched in all documents, in indexes built once per shard and block. Null and empty texts hold nothing; a document key that stands in several rows comes out for each of them.
     """
-    rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).limit(most_items + 1).collect()
-    if len(rows) > most_items:
-        raise ValueError(f"more than {most_items} test items")
-    rows = sorted((r[0], r[1]) for r in rows)
-    kinds = f"`{key}` {dict(df.dtypes)[key]}, `{item_key}` {dict(items.dtypes)[item_key]}"
-    blocks = [tuple(rows[k : k + block_items]) for k in range(0, len(rows), block_items)] or [()]
+    rows = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text)
+    kinds = f"`{key}` {dict(df.dtypes)[key]}, `{item_key}` {dict(items.dtypes)[item_key]}, first_word int, past_word int"
+    blocks: list[tuple[tuple[int, str], ...]] = []
+    block, size = [], 0
+    for r in rows.orderBy(item_key, item_text).toLocalIterator():
+        if block and size + len(r[1]) > block_chars:
+            blocks.append(tuple(block))
+            block, size = [], 0
+        block.append((r[0], r[1]))
+        size += len(r[1])
+    blocks.append(tuple(block))
 
     def search(block: tuple[tuple[int, str], ...]):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -348,9 +422,9 @@ def leaked_items(
             docs: list[np.ndarray] = []
 
             def found() -> pd.DataFrame:
-                pairs = [(keys[d], searcher.item_ids[i]) for d, i in searcher.shard(docs)]
+                spans = [(keys[d], searcher.item_ids[i], a, z) for d, i, a, z in searcher.shard(docs)]
                 keys.clear(), docs.clear()
-                return pd.DataFrame({key: pd.Series([p[0] for p in pairs]), item_key: pd.Series([p[1] for p in pairs])})
+                return pd.DataFrame(spans, columns=[key, item_key, "first_word", "past_word"])
 
             size = 0
             for batch in batches:
@@ -358,7 +432,7 @@ def leaked_items(
                     if not isinstance(t, str) or not t:
                         continue
                     ids = searcher.vocabulary.encode(words_of(t))
-                    if (ids > 0).sum() < searcher.phrase:
+                    if (ids > 0).sum() < searcher.shortest:
                         continue
                     keys.append(k), docs.append(ids)
                     size += len(ids)
@@ -374,3 +448,18 @@ def leaked_items(
         part = df.select(key, text).mapInPandas(search(block), kinds)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def leaked_items(df: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", **more) -> DataFrame:
+    """``(key, item_key)`` of each span of `leaked_spans`; a pair with several spans comes out several times."""
+    return leaked_spans(df, items, key, text, item_key, item_text, **more).select(key, item_key)
+
+
+def removal_spans(spans: DataFrame, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
+    """``(key, first_word, past_word, n_items)``: the spans of each document with those that overlap or touch merged, and the number of items in each."""
+    earlier = Window.partitionBy(key).orderBy("first_word", "past_word").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(key).orderBy("first_word", "past_word").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fresh = F.when(F.col("first_word") <= F.max("past_word").over(earlier), 0).otherwise(1)
+    numbered = spans.distinct().withColumn("__new", fresh).withColumn("__span", F.sum("__new").over(so_far))
+    merged = numbered.groupBy(key, "__span").agg(F.min("first_word").alias("first_word"), F.max("past_word").alias("past_word"), F.countDistinct(item_key).alias("n_items"))
+    return merged.drop("__span")

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from galewright.llm.leakage import FMIndex, Searcher, Vocabulary, align, leaked_items, suffix_array, words_of
+from galewright.llm.leakage import FMIndex, Searcher, Vocabulary, align, leaked_items, leaked_spans, removal_spans, suffix_array, words_of
 
 ITEM = (
     "Suppose the quiet turbine is given seventeen hours per mutation step; what happens to its dropout setting once the weight store has been disabled "
@@ -72,15 +72,63 @@ def test_no_leaks(spark):
     assert found(spark, [FILL * 3, " ".join(w[4:16]), FILL + " ".join(w[3:14]) + FILL, "", None, "turbine", " ".join(reversed(w))]) == set()
 
 
-def test_short_items_nulls_blocks_and_limits(spark):
-    rows = ((1, ITEM), (2, OTHER), (3, None), (4, ""), (None, ITEM), (5, "the older parent was already extinct"))
-    assert found(spark, [ITEM, OTHER], rows, block_items=1, shard_words=5) == {(0, 1), (1, 2), (0, 5)}
+def test_short_items_nulls_and_blocks(spark):
+    rows = ((1, ITEM), (2, OTHER), (3, None), (4, ""), (None, ITEM), (5, "the older parent was already extinct"), (6, "forty ended early"), (7, "Suppose"), (8, "forty ended late"))
+    want = {(0, 1), (1, 2), (0, 5), (1, 6), (0, 7)}
+    assert found(spark, [ITEM, OTHER], rows) == want
+    assert found(spark, [ITEM, OTHER], rows, block_chars=1, shard_words=5) == want
     assert found(spark, [ITEM], ()) == set() and found(spark, []) == set()
-    try:
-        found(spark, [ITEM], most_items=1)
-    except ValueError:
-        return
-    raise AssertionError("a larger query set than stated must be refused")
+
+
+# An item of 24 words, and what a document may hold of it.
+LONG = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima mike november oscar papa quebec romeo sierra tango uniform victor whiskey xray".split()
+
+
+def split_at(start, first, second):
+    """A passage in two pieces with other text between."""
+    return " ".join([*LONG[start : start + first], FILL, *LONG[start + first : start + first + second]])
+
+
+def test_two_pieces_of_fifteen_words_together(spark):
+    rows = ((1, " ".join(LONG)),)
+    whole = [split_at(0, 9, 9), split_at(2, 7, 13), split_at(0, 8, 8), split_at(0, 12, 8), split_at(3, 4, 11), split_at(5, 11, 4), split_at(0, 7, 8)]
+    no = [split_at(0, 7, 7), split_at(0, 12, 2), " ".join([*LONG[:8], FILL, *LONG[10:18]]), " ".join(LONG[:12])]
+    assert found(spark, whole + no, rows) == {(k, 1) for k in range(len(whole))}
+
+
+def test_one_changed_word_in_fifteen(spark):
+    rows = ((1, " ".join(LONG)),)
+    change = lambda a, n, k: " ".join("zzzz" if j == k else w for j, w in enumerate(LONG[a : a + n]))
+    drop = " ".join(w for j, w in enumerate(LONG[2:20]) if j != 9)
+    added = " ".join([*LONG[2:10], "zzzz", *LONG[10:18]])
+    assert found(spark, [FILL + change(3, 15, 7) + " " + FILL, FILL + change(2, 18, 8), drop, added, change(3, 13, 6), change(0, 12, 20)], rows) == {(k, 1) for k in range(4)}
+
+
+def test_another_number_is_another_question(spark):
+    w = LONG[:9] + ["42"] + LONG[9:15]
+    texts = [" ".join(w), " ".join(w).replace("42", "43")]
+    assert found(spark, texts, ((1, " ".join(LONG[:9] + ["42"] + LONG[9:])),)) == {(0, 1)}
+
+
+def test_ways_of_asking_are_no_leak(spark):
+    rows = [(k, f"Given that the {a} crew of {a} hall counts the spare parts each week compute how many of the {b} tools are left over by {b} noon") for k, (a, b) in enumerate((x, y) for x in LONG[:12] for y in LONG[12:24:3])]
+    asked = "Given that the night crew of our hall counts the spare parts each week compute how many of the good tools are left"
+    assert found(spark, [asked], rows) == set()
+
+
+def test_tags_of_any_length(spark):
+    for n in (5, 260, 5_000):
+        assert found(spark, [ITEM.replace(" ", f' <span title="{"x" * n}">')], ((1, ITEM),)) == {(0, 1)}
+
+
+def test_spans_and_removal(spark):
+    df = spark.createDataFrame([(1, FILL + ITEM + " " + OTHER), (2, FILL), (3, split_at(2, 8, 9))], "doc_id long, text string")
+    spans = leaked_spans(df, items(spark, ((1, ITEM), (2, OTHER), (3, ITEM), (4, " ".join(LONG)))))
+    got = {(r["doc_id"], r["item_id"], r["first_word"], r["past_word"]) for r in spans.collect()}
+    n, m, o = len(words_of(FILL)), len(words_of(ITEM)), len(words_of(OTHER))
+    assert got == {(1, 1, n, n + m), (1, 3, n, n + m), (1, 2, n + m, n + m + o), (3, 4, 0, 8), (3, 4, 8 + n, 17 + n)}
+    merged = {(r["doc_id"], r["first_word"], r["past_word"], r["n_items"]) for r in removal_spans(spans).collect()}
+    assert merged == {(1, n, n + m + o, 3), (3, 0, 8, 1), (3, 8 + n, 17 + n, 1)}
 
 
 def test_recall_against_brute_force():
@@ -97,5 +145,5 @@ def test_recall_against_brute_force():
             base[30:30] = texts[k][a : a + n]
             want.add((d, k))
         docs.append(s.vocabulary.encode(base))
-    assert set(s.shard(docs)) == want
-    assert {(d + k * 20, i) for k in range(3) for d, i in s.shard(docs[k * 20 : k * 20 + 20])} == want
+    assert {(d, i) for d, i, _, _ in s.shard(docs)} == want
+    assert {(d + k * 20, i) for k in range(3) for d, i, _, _ in s.shard(docs[k * 20 : k * 20 + 20])} == want
