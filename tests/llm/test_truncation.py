@@ -46,3 +46,28 @@ def test_odd_texts_come_out_once(spark, text):
     df = spark.createDataFrame([(1, text, None)], "doc_id long, text string, source string")
     assert judged_texts(df).count() == 1
     assert judged_texts(df.where("false")).collect() == []
+
+
+@pytest.mark.parametrize("size", [10, 2_600, 60_000])
+def test_remarks_and_table_rows_of_any_length(spark, size):
+    long = "x " * (size // 2)
+    texts = {1: f"We saw 3 warnings about the pump. ({long})", 2: f"We saw 3 warnings about the pump.\n| step | {long} |", 3: f"We saw 3 warnings about the pump. [{long}] </p> :-)", 4: f"We saw 3 warnings about the ({long})"}
+    df = frame(spark).unionByName(spark.createDataFrame([(7000 + k, t, "long", 1) for k, t in texts.items()], "doc_id long, text string, source string, gram int"))
+    whole = {r["key"]: r["whole"] for r in judged_texts(df).where("key > 7000").collect()}
+    assert whole == {7001: True, 7002: True, 7003: True, 7004: False}
+
+
+def test_the_counts_decide(spark):
+    """A trigram that goes on elsewhere is a cut; of unknown ones shorter grams tell; what the corpus doesn't know is no cut."""
+    rows = {1: "The pump of unit 3 was checked and the", 2: "We saw a gearbox and the", 3: "The pump of unit 3 was checked and the ro", 4: "Zyx wvut srq", 5: "We saw 3 warnings about the pump.\nRegards, the night crew"}
+    df = frame(spark).unionByName(spark.createDataFrame([(7000 + k, t, "x", 1) for k, t in rows.items()], "doc_id long, text string, source string, gram int"))
+    got = {r["key"] - 7000: (r["is_cut"], r["level"]) for r in judged_texts(df).where("key > 7000").collect()}
+    assert got == {1: (True, 3), 2: (True, 2), 3: (True, 0), 4: (False, None), 5: (False, 3)}
+
+
+def test_three_different_texts_make_an_ending_usual(spark):
+    """Two texts and a copy are two; the same ending in three different texts is known as one."""
+    texts = lambda n: [(8000 + k, f"We saw {['rotor', 'filter', 'sensor'][k % n]} warnings about the pump.\nqqa qqb qqc", "x", 1) for k in range(3)]
+    for n, level in ((2, None), (3, 3)):
+        df = frame(spark).unionByName(spark.createDataFrame(texts(n), "doc_id long, text string, source string, gram int"))
+        assert {(r["is_cut"], r["level"]) for r in judged_texts(df).where("key >= 8000").collect()} == {(False, level)}
