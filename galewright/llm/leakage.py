@@ -256,16 +256,25 @@ class Searcher:
             self.needs[key] = best
         return self.needs[key]
 
-    def pieces(self, pair: np.ndarray, which: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pieces(self, pair: np.ndarray, doc: np.ndarray, which: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For the runs (item from, item to, diagonal) of all pairs: numbers of two runs of a pair that make up a passage of ``least`` words.
 
         They follow each other in the item, wherever they stand in the document; or they stand side by side in the
         document and one word of the item between them, no number, is changed or dropped there. Each must hold
-        a phrase that tells the item from others, because ways of asking stand side by side by chance.
+        a phrase that tells the item from others, because ways of asking stand side by side by chance; and neither may be a part of
+        a longer run of another item, which is what the document holds there.
         """
         begin, end, line = runs[:, 0], runs[:, 1], runs[:, 2]
         at = self.item_at[which]
-        sound = np.nonzero(self.told[at + np.maximum(begin, end - self.phrase + 1)] > self.told[at + begin])[0]
+        reach = int((end + line).max(initial=0)) + 2
+        place, past = doc * reach + begin + line, doc * reach + end + line
+        order = np.lexsort((past, place))
+        first = np.nonzero(np.r_[True, place[order][1:] != place[order][:-1]])[0]
+        furthest = np.maximum.reduceat(past[order], first) if len(first) else past
+        before = np.r_[-1, np.maximum.accumulate(furthest)[:-1]]
+        group = np.searchsorted(place[order][first], place)
+        own = (before[group] < past) & (furthest[group] == past)
+        sound = np.nonzero(own & (self.told[at + np.maximum(begin, end - self.phrase + 1)] > self.told[at + begin]))[0]
         found: list[tuple[np.ndarray, np.ndarray]] = []
         if not len(sound):
             return sound, sound
@@ -376,7 +385,7 @@ class Searcher:
         ends = np.r_[cut[1:], len(owner)]
         longest, covered = np.maximum.reduceat(size, cut), np.add.reduceat(size, cut)
         which_item = hits[begin[cut], 1]
-        a, b = self.pieces(owner, hits[begin, 1], runs)
+        a, b = self.pieces(owner, hits[begin, 0], hits[begin, 1], runs)
         for k in np.r_[a, b]:
             yield int(hits[begin[k], 0]), int(hits[begin[k], 1]), int(runs[k, 0] + runs[k, 2]), int(runs[k, 1] + runs[k, 2])
         enough = (longest >= self.least) | (covered >= self.needed[which_item, np.minimum(longest, self.least)])

@@ -116,6 +116,13 @@ def test_ways_of_asking_are_no_leak(spark):
     assert found(spark, [asked], rows) == set()
 
 
+def test_pieces_of_another_leaked_item_are_its_own(spark):
+    """The document holds the first item; what the second has in common with it stands there as a part of the first."""
+    first = LONG[:8] + ["one", "two", "three"] + LONG[8:16]
+    rows = ((1, " ".join(first)), (2, " ".join(LONG[:16] + ["four", "five"])))
+    assert found(spark, [" ".join(first), split_at(0, 8, 8)], rows) == {(0, 1), (1, 2)}
+
+
 def test_tags_of_any_length(spark):
     for n in (5, 260, 5_000):
         assert found(spark, [ITEM.replace(" ", f' <span title="{"x" * n}">')], ((1, ITEM),)) == {(0, 1)}
