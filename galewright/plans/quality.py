@@ -54,7 +54,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = named_readings(df)
     named = named.withColumn("__arrived", epoch_seconds(named, "received_at") - 300)
     timed = with_instant(named, "date_time", "__utc", received="received_at")
-    return implausible_values(timed, "rec_id", NAME, "__utc", CHECKED, "__arrived", extent=named)
+    return implausible_values(timed, "rec_id", NAME, "__utc", CHECKED, "__arrived")
 
 
 def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,20 +96,21 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_instant(df, "date_time", "utc_s", received="received_at").where("utc_s IS NOT NULL").select("rec_id", "utc_s")
 
 
-def gridded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = ["p_avg", "ws_avg"]
+def gridded(spark: SparkSession, sf_dir: str, values: list[str]) -> DataFrame:
     df = table(spark, sf_dir, "turbine_readings").select(NAME, "date_time", "received_at", "source_file", *values)
     timed = with_instant(named_readings(df), "date_time", "utc_s", received="received_at")
     return regular_grid(timed, NAME, "utc_s", values)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gridded(spark, sf_dir).where("is_empty").select(NAME, "slot_s")
+    """The slots inside which the kernel has no weight."""
+    return gridded(spark, sf_dir, []).where("is_empty").select(NAME, "slot_s")
 
 
 def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lambda c: F.round(c, 6).alias(c)
-    return gridded(spark, sf_dir).select(NAME, "slot_s", "n", "is_empty", r("p_avg"), r("p_avg_support"), r("ws_avg"), r("ws_avg_support"))
+    r = lambda c: F.round(c, 5).alias(c)
+    grid = gridded(spark, sf_dir, ["p_avg", "ws_avg"])
+    return grid.select(NAME, "slot_s", "n", "is_empty", r("support"), *[c for v in ("p_avg", "ws_avg") for c in (r(v), r(f"{v}_support"), f"{v}_missing")])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_report, p3_found, p3_filled, p4_found, p5_found, p6_found, p6_grid)}

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galewright.plans.series import r
-from galewright.session import ensure_checkpoint_dir, table
+from galewright.session import shared_folder, table
 from galewright.streaming.episodes import episodes_from_stream, generations, naive_scores, windowed_counts
 
 
@@ -20,7 +18,7 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 def _finish(spark: SparkSession, df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs the stream over what is there and reads its result from the shared folder."""
-    out = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared_folder(spark, "stream")
     q = df.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{out}/rows")
@@ -41,7 +39,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_generations(spark: SparkSession, d: str) -> DataFrame:
     """Each micro-batch is a generation that logs its best, mean and worst value per event type."""
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/generations-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "generations")
 
     def step(batch: DataFrame, number: int) -> DataFrame:
         return batch.groupBy("event_type").agg(F.min("value").alias("best"), F.avg("value").alias("avg"), F.max("value").alias("worst"))

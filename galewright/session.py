@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def local_session(name: str = "galewright", cores: str | None = None, partitions: int = 8) -> SparkSession:
@@ -42,14 +44,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="galewright-")
+        sc._jvm.org.apache.hadoop.fs.FileSystem.getLocal(sc._jsc.hadoopConfiguration()).deleteOnExit(sc._jvm.org.apache.hadoop.fs.Path(path))
     sc.setCheckpointDir(path)
     return path
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder, which is deleted when the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from the files, so that lost executors cost nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared folder and go on from the files, so that lost executors cost nothing and later
+    readers take the columns they need. The caller selects the columns that are needed at all."""
+    path = shared_folder(df.sparkSession, "rows")
+    plain = [f"c{i}" for i in range(len(df.columns))]
+    df.toDF(*plain).write.mode("overwrite").parquet(path)
+    schema = T.StructType([T.StructField(n, f.dataType) for n, f in zip(plain, df.schema.fields)])
+    return df.sparkSession.read.schema(schema).parquet(path).toDF(*df.columns)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

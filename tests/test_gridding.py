@@ -3,8 +3,8 @@ import numpy as np
 from galewright.operators.gridding import regular_grid
 
 
-def reference(rows, step, bandwidth, min_support):
-    """Weighted local lines by NumPy's least squares."""
+def reference(rows, step, bandwidth, min_support, degree=1):
+    """Weighted local polynomials by NumPy's least squares."""
     out = {}
     for s in {r[0] for r in rows}:
         t = np.array([r[1] for r in rows if r[0] == s])
@@ -19,8 +19,7 @@ def reference(rows, step, bandwidth, min_support):
             if support >= min_support or (inside.any() and w.any()):
                 k = w > 0
                 sw = np.sqrt(w[k])
-                many = len(set(x[k])) > 1
-                a = np.stack([np.ones(k.sum()), x[k]], 1) if many else np.ones((k.sum(), 1))
+                a = np.stack([x[k] ** p for p in range(min(degree, len(set(x[k])) - 1) + 1)], 1)
                 y = float(np.linalg.lstsq(a * sw[:, None], v[k] * sw, rcond=None)[0][0])
             out[s, slot] = (int(inside.sum()), y)
     return out
@@ -35,10 +34,29 @@ def test_equals_least_squares(spark):
     assert got.keys() == want.keys()
     for k, (n, y) in want.items():
         assert got[k]["n"] == n and got[k]["is_empty"] == (n == 0)
-        assert (got[k]["v"] is None) == (y is None), k
+        assert (got[k]["v"] is None) == (y is None) == got[k]["v_missing"], k
         assert y is None or abs(got[k]["v"] - y) < 1e-6, k
 
 
+def test_degrees(spark):
+    """Each degree gives back polynomials of its own."""
+    t = np.arange(0, 86400, 450)
+    df = spark.createDataFrame([("a", k, 1.0, 2.0 + k / 9000, 1 + (k / 9000 - 3) ** 2) for k in t.tolist()], "s string, t long, c double, l double, q double")
+    for degree, columns in ((0, "c"), (1, "cl"), (2, "clq")):
+        for r in regular_grid(df, "s", "t", list(columns), degree=degree).where("slot_s BETWEEN 3000 AND 80000").collect():
+            m = (r["slot_s"] + 300) / 9000
+            assert all(abs(r[c] - want) < 1e-6 for c, want in (("c", 1.0), ("l", 2 + m), ("q", 1 + (m - 3) ** 2)) if c in columns), (degree, r)
+
+
+def test_the_sums_are_worked_out_once(spark):
+    """The grid and its values read one exchange; the kernel stays in the plan of the empty slots alone."""
+    df = spark.createDataFrame([("a", 0, 1.0), ("a", 90_000, 1.0)], "s string, t long, v double")
+    empty = regular_grid(df, "s", "t", []).where("is_empty").select("s", "slot_s")
+    assert empty.count() == 149
+    plan = empty._jdf.queryExecution().executedPlan().toString()
+    assert "POWER" in plan.upper()
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, 5, 1.0), ("a", None, 1.0), ("a", -601, 1.0), ("a", 599, 2.0)], "s string, t long, v double")
     got = sorted((r["slot_s"], r["n"]) for r in regular_grid(df, "s", "t", []).collect())

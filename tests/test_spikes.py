@@ -75,6 +75,65 @@ def test_edge_cases(spark):
     assert found(df.withColumn("t", F.lit(None).cast("long")).withColumn("arrived", F.lit(None).cast("long"))) == {2}
 
 
+def textbook_gesd(x, alpha):
+    """The test as published, with mean and deviation in place of median and MAD: removed values in order, deviations, limits."""
+    x, left, out = np.asarray(x, float), list(range(len(x))), []
+    for i in range(1, len(x) // 2 + 1):
+        v = x[left]
+        far = int(np.argmax(np.abs(v - np.median(v))))
+        mad = 1.4826 * np.sort(np.abs(v - np.median(v)))[(len(v) + 1) // 2 - 1]
+        n = len(x)
+        t = t_quantile(np.array([1 - alpha / (2 * (n - i + 1))]), np.array([n - i - 1.0]))[0]
+        out.append((left.pop(far), abs(v[far] - np.median(v)) / max(mad, 1e-9), (n - i) * t / np.sqrt((n - i - 1 + t * t) * (n - i + 1))))
+    last = max([k + 1 for k, (_, r, limit) in enumerate(out) if r > limit], default=0)
+    return {k for k, _, _ in out[:last]}
+
+
+def test_gesd_takes_centre_and_scale_anew_at_each_step():
+    rng = np.random.default_rng(11)
+    for n in (3, 4, 7, 8, 25, 60, 151):
+        for k in (0, 1, n // 5, n // 3):
+            x = rng.normal(0, 1, n)
+            x[:k] += rng.choice([-1, 1], k) * rng.uniform(4, 30, k)
+            assert set(np.nonzero(gesd(x, 0.05))[0]) == textbook_gesd(x, 0.05), (n, k)
+    # The published example of 54 values has three outliers; a third of outliers are all found.
+    rosner = [-0.25, 0.68, 0.94, 1.15, 1.20, 1.26, 1.26, 1.34, 1.38, 1.43, 1.49, 1.49, 1.55, 1.56, 1.58, 1.65, 1.69, 1.70, 1.76, 1.77, 1.81, 1.91, 1.94, 1.96, 1.99, 2.06, 2.09, 2.10, 2.14, 2.15, 2.23, 2.24, 2.26, 2.35, 2.37, 2.40, 2.47, 2.54, 2.62, 2.64, 2.90, 2.92, 2.92, 2.93, 3.21, 3.26, 3.30, 3.59, 3.68, 4.30, 4.64, 5.34, 5.42, 6.01]
+    assert {51, 52, 53} <= set(np.nonzero(gesd(np.array(rosner), 0.05))[0])
+    x = np.r_[rng.normal(0, 1, 140), 100 + rng.normal(0, 1, 60)]
+    assert set(np.nonzero(gesd(x))[0]) == set(range(140, 200))
+    assert set(np.nonzero(gesd(np.array([1.0, 2.1, 1.4, 3.0, 2.4, 1e6, 1.9])))[0]) == {5}
+
+
+def test_without_companion_the_reading_itself_is_decomposed(spark):
+    v, w = series()
+    v[400] += 40
+    nulls = [float("nan")] * len(w)
+    assert found(frame(spark, v, nulls)) == {400}
+    # Power without torque: the own range is the unit, and ranges are checked.
+    fields = [Field("v", ("w",), least=0.1, low=-0.2, high=1.3, scaled=True, relative=True)]
+    p = np.abs(v) * 10
+    p[700], p[900] = 5_000.0, -900.0
+    got = {r["id"] for r in implausible_values(frame(spark, p, nulls), "id", "s", "t", fields, "arrived").collect()}
+    assert {700, 900, 400} <= got and len(got) <= 6
+
+
+def test_many_spikes_and_few_readings(spark):
+    v, w = series(600)
+    at = np.arange(5, 595, 6)
+    v[at] += 30  # a sixth of the readings
+    assert found(frame(spark, v, w)) == set(at.tolist())
+    few = [1.0, 1.2, 1.1, 59.0, 1.3, 1.2, 1.1]
+    assert found(frame(spark, few, [1.0] * 7)) == {3}
+
+
+def test_a_wrong_date_makes_no_block_longer(spark):
+    v, w = series(2000)
+    v[500] += 9
+    t = [int(k * 600) + 1_500_000_000 for k in range(2000)]
+    t[1000] = 0  # 1970
+    assert found(frame(spark, v, w, t), block_rows=300) == {500}
+
+
 def test_parts():
     x = np.r_[np.random.default_rng(1).normal(0, 1, 500), 12.0, -11.0, np.nan]
     assert set(np.nonzero(gesd(x))[0]) == {500, 501}
