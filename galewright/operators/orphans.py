@@ -1,10 +1,10 @@
 """References whose target is missing, deleted or late (problem 2).
 
-Rows of every table become change deltas per (reference kind, key): a target row counts +1 at its insertion and -1 at
-its deletion, a referring row counts as one reference. Signed counts are kept per key and day: they give, with one sum
-per key, the current report (references but no existence), and with one running sum the existence at the start of each
-day; within a day the deltas are summed in time order. A key that a third of all rows refer to is thereby spread over
-its days; no group is larger than one key's one day of changes.
+Rows of every table become signed change deltas per (reference kind, key): a target row counts +1 existence at its insertion and -1 at
+its deletion, a referring row +1 reference at its insertion and -1 at its own deletion. A state of these counts per key is kept
+up by `apply_deltas`, and keys with positive references and no existence are the current report. For the references that
+were wrong at their own time, deltas are first summed per key and instant, then per day, and running existence is worked
+out only within days that need it, by minutes. References join the instants' verdicts with a salt. No task holds more than one key's one minute of different instants.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galewright.operators.prefix import running
 from galewright.session import union_all
 
-DAY_US = 86_400_000_000
+DAY_US, MINUTE_US = 86_400_000_000, 60_000_000
+ALWAYS = 2**62
 
 
 @dataclass(frozen=True)
@@ -51,83 +53,112 @@ def _key(columns: tuple[str, ...]) -> Column:
     return F.concat_ws(":", *[F.col(c).cast("string") for c in columns])
 
 
-def change_deltas(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
-    """``(kind, key, at, exists, refs, row_id)``: signed existence and reference deltas; at equal times deletions and
-    insertions come before references. A null in a key refers to nothing. A target row without time has always been
-    there; a referring row without time is asked about the end of all data."""
-    out, never, always = [], F.lit(2**62).cast("bigint"), F.lit(-(2**62)).cast("bigint")
-    seen: set[tuple] = set()
+def _kinds(references: list[Reference]) -> list[str]:
+    return list(dict.fromkeys(f"{r.target}({','.join(r.target_columns)})" for r in references))
+
+
+def _kind(r: Reference, kinds: list[str]) -> Column:
+    return F.lit(kinds.index(f"{r.target}({','.join(r.target_columns)})")).cast("int")
+
+
+def _targets(tables: dict[str, DataFrame], references: list[Reference]) -> list[DataFrame]:
+    """``(kind, key, at, until)`` of target rows; one without time has always been there, one that ends before it begins never was."""
+    out, kinds, seen = [], _kinds(references), set()
     for r in references:
-        kind = f"{r.target}({','.join(r.target_columns)})"
         if (r.target, r.target_columns) not in seen:
             seen.add((r.target, r.target_columns))
             t = tables[r.target]
             live = t.where(" AND ".join(f"`{c}` IS NOT NULL" for c in r.target_columns)).select(
-                _key(r.target_columns).alias("key"), F.coalesce(_micros(t, r.target_at), always).alias("a"), _micros(t, r.target_end).alias("b")
+                _kind(r, kinds).alias("kind"), _key(r.target_columns).alias("key"), F.coalesce(_micros(t, r.target_at), F.lit(-ALWAYS)).alias("at"), _micros(t, r.target_end).alias("until")
             )
-            life = live.where(F.col("b").isNull() | (F.col("b") > F.col("a")))
-            ends = F.array(F.struct(F.col("a").alias("at"), F.lit(1).alias("exists")), F.struct(F.col("b").alias("at"), F.lit(-1).alias("exists")))
-            out.append(
-                life.select("key", F.explode(ends).alias("x")).where("x.at IS NOT NULL").select(
-                    F.lit(kind).alias("kind"), "key", F.col("x.at").alias("at"), F.col("x.exists").cast("bigint").alias("exists"),
-                    F.lit(0).cast("bigint").alias("refs"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("row_id"),
-                )
-            )
+            out.append(live.where("until IS NULL OR until > at"))
+    return out
+
+
+def _referring(tables: dict[str, DataFrame], references: list[Reference]) -> list[DataFrame]:
+    """``(kind, key, at, until, source, row_id)`` of referring rows, ``source`` the reference's number; a null in a key refers to nothing, a row without time is
+    asked about the end of all data."""
+    out, kinds = [], _kinds(references)
+    for k, r in enumerate(references):
         t = tables[r.table]
         named = t.where(" AND ".join(f"`{c}` IS NOT NULL" for c in r.keys))
         out.append(
             named.select(
-                F.lit(kind).alias("kind"), _key(r.keys).alias("key"), F.coalesce(_micros(t, r.at), never).alias("at"), F.lit(0).cast("bigint").alias("exists"),
-                F.lit(1).cast("bigint").alias("refs"), F.lit(f"{r.table}.{r.field}").alias("source"), F.col(r.row_id).cast("bigint").alias("row_id"),
+                _kind(r, kinds).alias("kind"), _key(r.keys).alias("key"), F.coalesce(_micros(t, r.at), F.lit(ALWAYS)).alias("at"), _micros(t, "deleted_at").alias("until"),
+                F.lit(k).alias("source"), F.col(r.row_id).cast("bigint").alias("row_id"),
             )
         )
-    return union_all(out)
+    return out
+
+
+def change_deltas(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """``(kind, key, at, exists, refs, made)``: signed existence and reference deltas, and references made, summed per key and instant; ``kind`` is the target's number.
+    At equal times deletions and insertions come before references."""
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    out = []
+    for frames, exists, refs in ((_targets(tables, references), one, none), (_referring(tables, references), none, one)):
+        for df in frames:
+            begins = F.struct(F.col("at"), exists.alias("exists"), refs.alias("refs"), refs.alias("made"))
+            ends = F.struct(F.col("until").alias("at"), (-exists).alias("exists"), (-refs).alias("refs"), none.alias("made"))
+            out.append(df.select("kind", "key", F.inline(F.when(F.col("until").isNull(), F.array(begins)).otherwise(F.array(begins, ends)))))
+    return union_all(out).groupBy("kind", "key", "at").agg(*[F.sum(c).alias(c) for c in ("exists", "refs", "made")])
+
+
+def apply_deltas(state: DataFrame | None, deltas: DataFrame) -> DataFrame:
+    """The state ``(kind, key, exists, refs)`` after some deltas: signed counts per key; keys that came to nothing go. Deltas of a table's new
+    rows alone, added to the state before them, give what all rows would."""
+    new = deltas.select("kind", "key", "exists", "refs")
+    both = new if state is None else state.unionByName(new)
+    return both.groupBy("kind", "key").agg(F.sum("exists").alias("exists"), F.sum("refs").alias("refs")).where("exists <> 0 OR refs <> 0")
+
+
+def current_orphans(state: DataFrame, references: list[Reference]) -> DataFrame:
+    """The current report: keys with positive references and no existence, ``(kind, key, refs)`` with the target's name as kind."""
+    names = F.array(*[F.lit(k) for k in _kinds(references)])
+    return state.where("refs > 0 AND exists <= 0").select(names[F.col("kind")].alias("kind"), "key", "refs")
+
+
+def orphan_keys(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """The current report of whole tables."""
+    return current_orphans(apply_deltas(None, change_deltas(tables, references)), references)
 
 
 def counts_per_key_day(deltas: DataFrame) -> DataFrame:
-    """``(kind, key, day, exists, refs, changes, before, exists_now, refs_now)``: the signed counts of each key and day, the
-    existence before that day, and the key's counts over all days."""
+    """``(kind, key, day, made, changes, before, exists_now)``: references made and existence changes of each key and day, the
+    existence before that day, and the key's existence after all days."""
     per_day = deltas.groupBy("kind", "key", F.floor(F.col("at") / DAY_US).alias("day")).agg(
-        F.sum("exists").alias("exists"), F.sum("refs").alias("refs"), F.sum(F.abs("exists")).alias("changes")
+        F.sum("exists").alias("exists"), F.sum("made").alias("made"), F.sum(F.abs("exists")).alias("changes")
     )
     by_key = Window.partitionBy("kind", "key")
     earlier = by_key.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     return per_day.select(
-        "*",
+        "kind", "key", "day", "made", "changes",
         F.coalesce(F.sum("exists").over(earlier), F.lit(0)).alias("before"),
         F.sum("exists").over(by_key).alias("exists_now"),
-        F.sum("refs").over(by_key).alias("refs_now"),
-    )
-
+    )
 
-def orphan_keys(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
-    """The current report: keys with references and without existence, ``(kind, key, refs)``."""
-    per_key = change_deltas(tables, references).groupBy("kind", "key").agg(F.sum("exists").alias("exists"), F.sum("refs").alias("refs"))
-    return per_key.where("refs > 0 AND exists <= 0").select("kind", "key", "refs")
 
-
-def orphan_references(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+def orphan_references(tables: dict[str, DataFrame], references: list[Reference], salts: int = 8) -> DataFrame:
     """``(table_name, ref_field, row_id, at, reason)`` of each referring row without a live target at its own time
     (``missing then``) or without any undeleted target in all the data (``missing now``; it wins where both hold).
 
     Exact repeats of a referring row come out as often as they stand there; take ``distinct`` for a set. ``at`` is in
-    microseconds since 1970. Empty tables give no rows; further columns are never looked at.
+    microseconds since 1970. A referring row's own deletion doesn't matter here. Empty tables give no rows; further columns are never looked at.
     """
     deltas = change_deltas(tables, references).withColumn("day", F.floor(F.col("at") / DAY_US))
-    totals = counts_per_key_day(deltas.drop("day"))
+    totals = counts_per_key_day(deltas)
     # Without a change on the day and with existence before and now, all references of a key and day are sound.
-    doubtful = totals.where("refs > 0 AND (changes > 0 OR before <= 0 OR exists_now <= 0)")
-    rows = deltas.join(doubtful.select("kind", "key", "day", "before", "exists_now"), ["kind", "key", "day"])
-    so_far = Window.partitionBy("kind", "key", "day").orderBy("at", "refs").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    live = F.col("before") + F.sum("exists").over(so_far)
-    marked = rows.withColumn("live", live).where("refs > 0 AND (live <= 0 OR exists_now <= 0)")
-    return marked.select(
-        F.split("source", r"\.")[0].alias("table_name"),
-        F.split("source", r"\.")[1].alias("ref_field"),
-        "row_id",
-        "at",
-        F.when(F.col("exists_now") <= 0, "missing now").otherwise("missing then").alias("reason"),
-    )
+    doubtful = totals.where("made > 0 AND (changes > 0 OR before <= 0 OR exists_now <= 0)").select("kind", "key", "day", "before", "exists_now")
+    instants = deltas.select("kind", "key", "day", "at", "exists", "made").join(doubtful, ["kind", "key", "day"])
+    summed = running(instants, ["kind", "key", "day"], ["at"], F.floor(F.col("at") / MINUTE_US), F.col("exists"), "live")
+    wrong = summed.where("made > 0 AND (before + live <= 0 OR exists_now <= 0)")
+    reason = F.when(F.col("exists_now") <= 0, "missing now").otherwise("missing then")
+    # One verdict per key and instant; rows find theirs under a salt, so that an instant that many rows share is spread.
+    verdicts = wrong.select("kind", "key", "at", reason.alias("reason"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = union_all(_referring(tables, references)).drop("until").withColumn("salt", F.pmod(F.hash("source", "row_id"), F.lit(salts)))
+    names = F.array(*[F.struct(F.lit(r.table).alias("table_name"), F.lit(r.field).alias("ref_field")) for r in references])
+    found = rows.join(verdicts, ["kind", "key", "at", "salt"])
+    return found.select(names[F.col("source")]["table_name"].alias("table_name"), names[F.col("source")]["ref_field"].alias("ref_field"), "row_id", "at", "reason")
 
 
 def report_per_month(orphans: DataFrame) -> DataFrame:

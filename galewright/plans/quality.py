@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from galewright.operators.gridding import regular_grid
 from galewright.operators.imputation import fill_category, fill_numbers, text_or_null
 from galewright.operators.spikes import Field, implausible_values
-from galewright.operators.orphans import Reference, orphan_references, report_per_month
+from galewright.operators.orphans import Reference, apply_deltas, change_deltas, current_orphans, orphan_references, report_per_month
 from galewright.operators.timestamps import with_instant
 from galewright.operators.topn import top_n_per_group
 from galewright.session import epoch_seconds, table
@@ -63,14 +63,25 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_found(spark, sf_dir).join(files, "rec_id").groupBy("source_file", "field").agg(F.count("*").alias("n"))
 
 
+def _search_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: table(spark, sf_dir, t) for t in ("exact_search", "cnn_genome", "cnn_node", "cnn_edge")}
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: table(spark, sf_dir, t) for t in ("exact_search", "cnn_genome", "cnn_node", "cnn_edge")}
-    return orphan_references(tables, REFERENCES).select("table_name", F.col("row_id").cast("int").alias("row_id"), "ref_field").distinct()
+    found = orphan_references(_search_tables(spark, sf_dir), REFERENCES)
+    return found.select("table_name", F.col("row_id").cast("int").alias("row_id"), "ref_field").distinct()
 
 
 def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tables = {t: table(spark, sf_dir, t) for t in ("exact_search", "cnn_genome", "cnn_node", "cnn_edge")}
-    return report_per_month(orphan_references(tables, REFERENCES))
+    return report_per_month(orphan_references(_search_tables(spark, sf_dir), REFERENCES))
+
+
+def p2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that live rows refer to and no live row has, kept up from two increments: what was inserted or deleted up to the middle of 2020, and after."""
+    deltas = change_deltas(_search_tables(spark, sf_dir), REFERENCES)
+    cut = F.col("at") < 1_593_561_600_000_000
+    state = apply_deltas(apply_deltas(None, deltas.where(cut)), deltas.where(~cut))
+    return current_orphans(state, REFERENCES)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +98,7 @@ def p3_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = top_n_per_group(table(spark, sf_dir, "cnn_genome"), "exact_id", "best_validation_error", "id", 5)
+    top = top_n_per_group(table(spark, sf_dir, "cnn_genome"), "exact_id", "best_validation_error", "id", 5, heavy_rows=1_000)
     return top.select("exact_id", F.col("id").alias("genome_id"))
 
 
@@ -113,7 +124,7 @@ def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select(NAME, "slot_s", "n", "is_empty", r("support"), *[c for v in ("p_avg", "ws_avg") for c in (r(v), r(f"{v}_support"), f"{v}_missing")])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_report, p3_found, p3_filled, p4_found, p5_found, p6_found, p6_grid)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rates, p2_found, p2_report, p2_current, p3_found, p3_filled, p4_found, p5_found, p6_found, p6_grid)}
 
 
 def _orphans(source: str, field: str, target: str, on: str, deletes: bool = True) -> str:
@@ -133,6 +144,13 @@ _ORPHANS = " UNION ALL ".join(
     ]
 )
 
+_CURRENT = """WITH k AS (SELECT 'exact_search(id)' AS kind, CAST(exact_id AS VARCHAR) AS key, 0 AS e, 1 AS r FROM cnn_genome WHERE exact_id IS NOT NULL AND deleted_at IS NULL
+UNION ALL SELECT 'cnn_genome(id)', CAST(genome_id AS VARCHAR), 0, 1 FROM cnn_node WHERE genome_id IS NOT NULL UNION ALL SELECT 'cnn_genome(id)', CAST(genome_id AS VARCHAR), 0, 1 FROM cnn_edge WHERE genome_id IS NOT NULL
+UNION ALL SELECT 'cnn_node(genome_id,innovation_number)', concat(genome_id, ':', input_node_innovation_number), 0, 1 FROM cnn_edge WHERE genome_id IS NOT NULL AND input_node_innovation_number IS NOT NULL
+UNION ALL SELECT 'exact_search(id)', CAST(id AS VARCHAR), 1, 0 FROM exact_search WHERE id IS NOT NULL AND deleted_at IS NULL UNION ALL SELECT 'cnn_genome(id)', CAST(id AS VARCHAR), 1, 0 FROM cnn_genome WHERE id IS NOT NULL AND deleted_at IS NULL
+UNION ALL SELECT 'cnn_node(genome_id,innovation_number)', concat(genome_id, ':', innovation_number), 1, 0 FROM cnn_node WHERE genome_id IS NOT NULL AND innovation_number IS NOT NULL)
+SELECT kind, key, CAST(sum(r) AS BIGINT) AS refs FROM k GROUP BY kind, key HAVING sum(r) > 0 AND sum(e) = 0"""
+
 _NUMBER_MISSING = "({c} IS NULL OR isnan({c}) OR {c} IN (-9999.0, -999.99, -999.0, 9999.0, 32767.0))"
 
 _CLOCK = r"(?P<h>\d{1,2}):(?P<n>\d{2})(?::(?P<s>\d{2})(?:\.\d+)?)?"
@@ -170,6 +188,7 @@ ORACLES = {
     g AS (SELECT wind_turbine_name, unnest(range(min(slot_s), max(slot_s) + 1, 600)) AS slot_s FROM f GROUP BY wind_turbine_name) SELECT * FROM g ANTI JOIN f USING (wind_turbine_name, slot_s)""",
     "p2_found": f"SELECT DISTINCT table_name, row_id, ref_field FROM ({_ORPHANS})",
     "p2_report": f"SELECT table_name, ref_field, month, count(DISTINCT row_id) AS n_rows FROM ({_ORPHANS}) GROUP BY ALL",
+    "p2_current": _CURRENT,
     "p3_found": " UNION ALL ".join([f"SELECT rec_id, '{c}' AS field FROM turbine_readings WHERE {_NUMBER_MISSING.format(c=c)}" for c in LIMITS]
     + ["SELECT rec_id, 'wind_turbine_name' AS field FROM turbine_readings WHERE wind_turbine_name IS NULL OR lower(trim(wind_turbine_name)) IN ('', 'na', 'n/a', 'nan', 'none', 'null', 'unknown', '-', '?')"]),
     "p4_found": """SELECT exact_id, id AS genome_id FROM (SELECT exact_id, id, row_number() OVER (PARTITION BY exact_id ORDER BY e, id) AS r FROM
