@@ -3,8 +3,9 @@
 Rows of every table become signed change deltas per (reference kind, key): a target row counts +1 existence at its insertion and -1 at
 its deletion, a referring row +1 reference at its insertion and -1 at its own deletion. A state of these counts per key is kept
 up by `apply_deltas`, and keys with positive references and no existence are the current report. For the references that
-were wrong at their own time, deltas are first summed per key and instant, then per day, and running existence is worked
-out only within days that need it, by minutes. References join the instants' verdicts with a salt. No task holds more than one key's one minute of different instants.
+were wrong at their own time, counts per key and day tell the days on which all references are sound; the rows of the others are written
+to the shared folder, summed per instant, and running existence is worked out by minutes. Rows join the instants' verdicts with a salt. No task holds
+more than one key's one minute of different instants.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from galewright.operators.prefix import running
-from galewright.session import union_all
+from galewright.session import cut_lineage, union_all
 
 DAY_US, MINUTE_US = 86_400_000_000, 60_000_000
 ALWAYS = 2**62
@@ -123,19 +124,30 @@ def orphan_keys(tables: dict[str, DataFrame], references: list[Reference]) -> Da
     return current_orphans(apply_deltas(None, change_deltas(tables, references)), references)
 
 
-def counts_per_key_day(deltas: DataFrame) -> DataFrame:
-    """``(kind, key, day, made, changes, before, exists_now)``: references made and existence changes of each key and day, the
-    existence before that day, and the key's existence after all days."""
-    per_day = deltas.groupBy("kind", "key", F.floor(F.col("at") / DAY_US).alias("day")).agg(
-        F.sum("exists").alias("exists"), F.sum("made").alias("made"), F.sum(F.abs("exists")).alias("changes")
+def _rows(tables: dict[str, DataFrame], references: list[Reference]) -> DataFrame:
+    """``(kind, key, day, at, exists, made, source, row_id)``: existence changes and referring rows, unsummed."""
+    day, whole, nothing = F.floor(F.col("at") / DAY_US).alias("day"), F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    lives = F.array(F.struct(F.col("at"), F.lit(1).alias("exists")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("exists")))
+    out = []
+    for t in _targets(tables, references):
+        changes = t.select("kind", "key", F.inline(lives)).where("at IS NOT NULL")
+        out.append(changes.select("kind", "key", day, "at", F.col("exists").cast("bigint").alias("exists"), nothing.alias("made"), F.lit(None).cast("int").alias("source"), F.lit(None).cast("bigint").alias("row_id")))
+    out += [r.select("kind", "key", day, "at", nothing.alias("exists"), whole.alias("made"), "source", "row_id") for r in _referring(tables, references)]
+    return union_all(out)
+
+
+def counts_per_key_day(rows: DataFrame) -> DataFrame:
+    """``(kind, key, day, made, changed, first_made, last_change, before, after, exists_now)``: references made and existence changes of each key and day, when
+    the first reference and the last change were, the existence before and after that day, and after all days."""
+    is_change = F.col("exists") != 0
+    per_day = rows.groupBy("kind", "key", "day").agg(
+        F.sum("exists").alias("exists"), F.sum("made").alias("made"), F.max(F.when(is_change, F.col("at"))).alias("last_change"), F.min(F.when(~is_change, F.col("at"))).alias("first_made")
     )
     by_key = Window.partitionBy("kind", "key")
-    earlier = by_key.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = F.sum("exists").over(by_key.orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return per_day.select(
-        "kind", "key", "day", "made", "changes",
-        F.coalesce(F.sum("exists").over(earlier), F.lit(0)).alias("before"),
-        F.sum("exists").over(by_key).alias("exists_now"),
-    )
+        "kind", "key", "day", "made", "first_made", "last_change", (so_far - F.col("exists")).alias("before"), so_far.alias("after"), F.sum("exists").over(by_key).alias("exists_now")
+    )
 
 
 def orphan_references(tables: dict[str, DataFrame], references: list[Reference], salts: int = 8) -> DataFrame:
@@ -145,19 +157,22 @@ def orphan_references(tables: dict[str, DataFrame], references: list[Reference],
     Exact repeats of a referring row come out as often as they stand there; take ``distinct`` for a set. ``at`` is in
     microseconds since 1970. A referring row's own deletion doesn't matter here. Empty tables give no rows; further columns are never looked at.
     """
-    deltas = change_deltas(tables, references).withColumn("day", F.floor(F.col("at") / DAY_US))
-    totals = counts_per_key_day(deltas)
-    # Without a change on the day and with existence before and now, all references of a key and day are sound.
-    doubtful = totals.where("made > 0 AND (changes > 0 OR before <= 0 OR exists_now <= 0)").select("kind", "key", "day", "before", "exists_now")
-    instants = deltas.select("kind", "key", "day", "at", "exists", "made").join(doubtful, ["kind", "key", "day"])
+    rows = _rows(tables, references)
+    totals = counts_per_key_day(rows)
+    # With existence now, and all of the day's changes before its references and existence after them, all references of a key and day are sound.
+    sound = "exists_now > 0 AND after > 0 AND coalesce(last_change <= first_made, true)"
+    doubtful = totals.where(f"made > 0 AND NOT ({sound})").select("kind", "key", "day", "before", "exists_now")
+    asked = cut_lineage(rows.join(doubtful, ["kind", "key", "day"]))
+    same = ["kind", "key", "day", "before", "exists_now"]
+    instants = asked.groupBy(*same, "at").agg(F.sum("exists").alias("exists"), F.sum("made").alias("made"))
     summed = running(instants, ["kind", "key", "day"], ["at"], F.floor(F.col("at") / MINUTE_US), F.col("exists"), "live")
     wrong = summed.where("made > 0 AND (before + live <= 0 OR exists_now <= 0)")
     reason = F.when(F.col("exists_now") <= 0, "missing now").otherwise("missing then")
     # One verdict per key and instant; rows find theirs under a salt, so that an instant that many rows share is spread.
     verdicts = wrong.select("kind", "key", "at", reason.alias("reason"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    rows = union_all(_referring(tables, references)).drop("until").withColumn("salt", F.pmod(F.hash("source", "row_id"), F.lit(salts)))
     names = F.array(*[F.struct(F.lit(r.table).alias("table_name"), F.lit(r.field).alias("ref_field")) for r in references])
-    found = rows.join(verdicts, ["kind", "key", "at", "salt"])
+    referring = asked.where("made > 0").select("kind", "key", "at", "source", "row_id", F.pmod(F.hash("source", "row_id"), F.lit(salts)).alias("salt"))
+    found = referring.join(verdicts, ["kind", "key", "at", "salt"])
     return found.select(names[F.col("source")]["table_name"].alias("table_name"), names[F.col("source")]["ref_field"].alias("ref_field"), "row_id", "at", "reason")
 
 
