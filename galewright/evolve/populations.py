@@ -55,7 +55,7 @@ class Islands:
         self.config, self.seed = config, seed
         self.rng = np.random.default_rng(config.seed)
         node, edge = seed.max_innovations()
-        self.mutator = Mutator(self.rng, Innovations(node, edge), max_delay=config.max_recurrent_depth)
+        self.mutator = Mutator(self.rng, Innovations(node, edge), max_delay=config.max_recurrent_depth, weights=config.mutation_weights)
         self.islands = [Island(k) for k in range(config.islands)]
         self.next_id = 1
         self.size = config.island_size
@@ -75,7 +75,7 @@ class Islands:
     def _fresh(self) -> Genome:
         g = self.seed.copy()
         initialize(g, self.config.weight_rule, self.rng)
-        self.mutator.mutate(g, 1)
+        self.mutator.mutate(g, self.config.mutations)
         return g
 
     def _one(self, island: Island) -> Genome:
@@ -96,34 +96,36 @@ class Islands:
 
     def _mutant(self, island: Island) -> Genome:
         g = island.elite[int(self.rng.integers(len(island.elite)))].copy()
-        self.mutator.mutate(g, 1)
+        self.mutator.mutate(g, self.config.mutations)
         return g
 
     def _child(self, a: Genome, b: Genome) -> Genome:
-        child = crossover(*((a, b) if a.fitness <= b.fitness else (b, a)), self.rng)
+        child = crossover(*((a, b) if a.fitness <= b.fitness else (b, a)), self.rng, rule=self.config.crossover_weights)
         if child.outputs_unreachable():
             child = (a if a.fitness <= b.fitness else b).copy()
             self.mutator.mutate(child, 1)
         return child
 
     def _repopulated(self, island: Island) -> Genome:
+        """A genome for an erased island from the others, with ``repopulation_mutations`` more mutations."""
         others = [i for i in self.islands if i is not island and i.elite]
         if not others:
             return self._fresh()
-        mode = self.config.repopulation
+        mode, more = self.config.repopulation, self.config.repopulation_mutations
         if mode == "best_genome":
-            g = min((i.elite[0] for i in others), key=lambda g: g.fitness).copy()
-            self.mutator.mutate(g, 1)
-            return g
-        if mode == "best_island":
+            g, more = min((i.elite[0] for i in others), key=lambda g: g.fitness).copy(), max(1, more)
+        elif mode == "best_island":
             source = min(others, key=Island.best)
-            return source.elite[int(self.rng.integers(len(source.elite)))].copy()
-        if len(others) < 2:
-            return self._mutant(others[0])
-        x, y = (others[int(k)] for k in self.rng.permutation(len(others))[:2])
-        if mode == "best_parents":
-            return self._child(x.elite[0], y.elite[0])
-        return self._child(x.elite[int(self.rng.integers(len(x.elite)))], y.elite[int(self.rng.integers(len(y.elite)))])
+            g = source.elite[int(self.rng.integers(len(source.elite)))].copy()
+        elif len(others) < 2:
+            g = self._mutant(others[0])
+        else:
+            x, y = (others[int(k)] for k in self.rng.permutation(len(others))[:2])
+            pick = (lambda i: i.elite[0]) if mode == "best_parents" else (lambda i: i.elite[int(self.rng.integers(len(i.elite)))])
+            g = self._child(pick(x), pick(y))
+        if more:
+            self.mutator.mutate(g, more)
+        return g
 
     def finish(self, generation: int, trained: list[Genome]) -> Genome | None:
         """Takes the trained genomes and re-evaluated elites, and returns the best genome of all islands."""
@@ -144,18 +146,22 @@ class Islands:
         """From the worst to the best."""
         return sorted(self.islands, key=lambda i: (-i.best(), i.number))
 
-    def repopulate(self, generation: int) -> int | None:
-        """Erases the worst island that isn't immune, every so many generations after the second such time."""
+    def repopulate(self, generation: int) -> list[int]:
+        """Erases the ``erased_islands`` worst islands, every so many generations after the second such time; one that was erased is spared for
+        the next five times, unless ``repeat_extinction``. At least one island stays. Returns their numbers."""
         every = self.config.repopulate_every
         if not every or generation <= 2 * every or generation % every or len(self.islands) < 2:
-            return None
+            return []
         for island in self.islands:
             island.immune = max(0, island.immune - 1)
-        for island in self.ranked():
-            if not island.immune and island.elite:
-                island.erase()
-                return island.number
-        return None
+        return self._erase(self.config.erased_islands)
+
+    def _erase(self, most: int) -> list[int]:
+        filled = [i for i in self.ranked() if i.elite]
+        worst = [i for i in filled if self.config.repeat_extinction or not i.immune][: min(most, len(filled) - 1)]
+        for island in worst:
+            island.erase()
+        return [i.number for i in worst]
 
     def compare(self, generation: int, naive_mse: float, model_mse: float) -> None:
         """Counts wins; once the model has more of them after generation 10, islands shrink to a quarter, one time."""
@@ -186,9 +192,7 @@ class SteadyIslands(Islands):
         if len(island.elite) >= self.size:
             island.status = "filled"
         if extinction_every and self.evaluated % extinction_every == 0 and len(self.islands) > 1:
-            worst = next((i for i in self.ranked() if i.elite), None)
-            if worst:
-                worst.erase()
+            self._erase(self.config.erased_islands)
         return place
 
 
@@ -199,7 +203,7 @@ class Species:
         self.config, self.seed, self.threshold, self.stagnation, self.most = config, seed, threshold, stagnation, most
         self.rng = np.random.default_rng(config.seed)
         node, edge = seed.max_innovations()
-        self.mutator = Mutator(self.rng, Innovations(node, edge), max_delay=config.max_recurrent_depth)
+        self.mutator = Mutator(self.rng, Innovations(node, edge), max_delay=config.max_recurrent_depth, weights=config.mutation_weights)
         self.species: list[list[Genome]] = []
         self.latest: list[Genome] = []
         self.idle = 0
@@ -234,7 +238,7 @@ class Species:
             s = filled[int(self.rng.integers(len(filled)))]
             if len(s) > 1 and self.rng.random() < 0.25:
                 a, b = (s[int(k)] for k in self.rng.permutation(len(s))[:2])
-                g = crossover(*((a, b) if a.fitness <= b.fitness else (b, a)), self.rng)
+                g = crossover(*((a, b) if a.fitness <= b.fitness else (b, a)), self.rng, rule=self.config.crossover_weights)
                 if g.outputs_unreachable():
                     g = a.copy()
             else:

@@ -9,6 +9,7 @@ import numpy as np
 
 from galewright.nn.cells import CELLS
 from galewright.nn.genome import HIDDEN, INPUT, OUTPUT, Edge, Genome, Node
+from galewright.nn.training import initialize
 
 
 def moments(weights) -> tuple[float, float]:
@@ -36,6 +37,13 @@ class Innovations:
         return self.edge
 
 
+# How often each mutation is drawn, in shares of their sum.
+RATES = {
+    "clone": 1.0, "add_edge": 1.0, "add_recurrent_edge": 1.0, "enable_edge": 1.0, "disable_edge": 1.0, "split_edge": 0.0,
+    "add_node": 1.0, "enable_node": 1.0, "disable_node": 1.0, "split_node": 1.0, "merge_node": 1.0,
+}
+
+
 @dataclass
 class Mutator:
     """Draws mutations by rate until ``count`` of them succeed."""
@@ -45,12 +53,8 @@ class Mutator:
     cells: tuple[str, ...] = ("simple", "ugrnn", "mgu", "gru", "delta", "lstm")
     min_delay: int = 1
     max_delay: int = 10
-    rates: dict[str, float] = field(
-        default_factory=lambda: {
-            "clone": 1.0, "add_edge": 1.0, "add_recurrent_edge": 1.0, "enable_edge": 1.0, "disable_edge": 3.0, "split_edge": 0.0,
-            "add_node": 1.0, "enable_node": 1.0, "disable_node": 3.0, "split_node": 1.0, "merge_node": 1.0,
-        }
-    )
+    weights: str = "lamarckian"
+    rates: dict[str, float] = field(default_factory=lambda: dict(RATES))
 
     def mutate(self, genome: Genome, count: int = 1) -> list[str]:
         names, p = list(self.rates), np.array(list(self.rates.values()))
@@ -69,6 +73,14 @@ class Mutator:
         return done
 
     def _weight(self, genome: Genome) -> float:
+        """A new part's weight: a normal draw with the moments of the genome's own, or by the named rule."""
+        if self.weights == "gp":
+            return 1.0
+        if self.weights == "random":
+            return float(self.rng.uniform(-0.5, 0.5))
+        if self.weights in ("xavier", "kaiming"):
+            fan_in, fan_out = self._averages(genome)
+            return float(self.rng.uniform(-1, 1) * math.sqrt(6 / (fan_in + fan_out)) if self.weights == "xavier" else self.rng.normal(0, math.sqrt(2 / fan_in)))
         mu, sigma = moments(genome.get_weights())
         return float(np.clip(self.rng.normal(mu, sigma), -10, 10))
 
@@ -129,6 +141,11 @@ class Mutator:
         node = self._new_node(genome, (by[e.source].depth + by[e.target].depth) / 2)
         return self._connect(genome, by[e.source], node, 0) and self._connect(genome, node, by[e.target], 0)
 
+    def _averages(self, genome: Genome) -> tuple[float, float]:
+        """Edges into and out of a node, on average over those that have some; 1 at least."""
+        live = [e for e in genome.edges if e.enabled]
+        return tuple(max(1.0, len(live) / max(1, len({getattr(e, side) for e in live}))) for side in ("target", "source"))
+
     def _fan(self, genome: Genome) -> tuple[int, int]:
         """How many edges a new node takes in and gives out: 2 and a normal draw around the hidden nodes' averages."""
         live = genome.live_edges()
@@ -210,9 +227,9 @@ class Mutator:
         return True
 
 
-def crossover(better: Genome, worse: Genome, rng: np.random.Generator, keep_worse: float = 0.5) -> Genome:
-    """A child of both parents' edges, matched by innovation number. Weights of edges in both are w1 + r (w1 - w2) with
-    r from U(-0.5, 1.5). Edges of the better parent alone are enabled if they are reachable there, of the worse alone
+def crossover(better: Genome, worse: Genome, rng: np.random.Generator, keep_worse: float = 0.5, rule: str = "lamarckian") -> Genome:
+    """A child of both parents' edges, matched by innovation number. Edges in both are enabled and have weights w1 + r (w1 - w2) with
+    r from U(-0.5, 1.5); with a rule other than ``lamarckian`` all of the child's weights are drawn by it. Edges of the better parent alone are enabled if they are reachable there, of the worse alone
     with chance ``keep_worse`` and if reachable. Each node and each (source, target, delay) comes once."""
     alive = {id(e) for g in (better, worse) for e in g.live_edges()}
     first, second = {e.innovation: e for e in better.edges}, {e.innovation: e for e in worse.edges}
@@ -235,11 +252,14 @@ def crossover(better: Genome, worse: Genome, rng: np.random.Generator, keep_wors
             continue
         taken.add((e.source, e.target, e.delay))
         if a and b:
-            edges.append(Edge(k, e.source, e.target, e.delay, mix(a.weight, b.weight), a.enabled or b.enabled))
+            edges.append(Edge(k, e.source, e.target, e.delay, mix(a.weight, b.weight), True))
         else:
             enabled = id(e) in alive and (a is not None or rng.random() < keep_worse)
             edges.append(Edge(k, e.source, e.target, e.delay, e.weight, enabled))
-    return Genome(sorted(nodes.values(), key=lambda n: (n.depth, n.innovation)), edges)
+    child = Genome(sorted(nodes.values(), key=lambda n: (n.depth, n.innovation)), edges)
+    if rule != "lamarckian":
+        initialize(child, rule, rng)
+    return child
 
 
 def distance(a: Genome, b: Genome, c1: float = 1.0, c2: float = 1.0, c3: float = 0.4) -> float:

@@ -1,22 +1,24 @@
 """Online forecasting: episodes of series, networks trained in parallel, a population that evolves from generation to
 generation.
 
-A generation is one Spark job: genomes are rows, each is trained by one task (`applyInPandas` per genome) on the episodes
-that were drawn for it. Episodes stay on the cluster: the driver knows their ids and fetches those of one generation, whose
-number the configuration bounds (training + validation + test); only they are shipped. Decisions about tens of genomes stay on the driver.
+A generation is one Spark job: genomes are rows, each is trained by one task (`mapInPandas` over genome numbers) on the episodes
+that were drawn for it. Episodes stay on the cluster: the driver knows their ids, holds a bounded number of those used last, and ships those of one generation, whose
+number the configuration bounds (training + validation + test). Decisions about tens of genomes stay on the driver.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import math
+import time
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galewright.evolve.populations import Islands
+from galewright.evolve.populations import Islands, Species, SteadyIslands
 from galewright.nn.genome import Genome, seed_genome
 from galewright.nn.network import errors, loss_and_gradient, predict
 from galewright.nn.training import Optimizer, initialize, train
@@ -24,6 +26,8 @@ from galewright.operators import series as S
 from galewright.operators.sampling import hash_unit
 from galewright.spec import RunConfig, SeriesSpec
 
+logger = logging.getLogger(__name__)
+
 
 def prepare_episodes(df: DataFrame, series: str, t: str, spec: SeriesSpec) -> DataFrame:
     """``(episode_id, x, y)``: normalised inputs and outputs of each episode as arrays (time, columns)."""
@@ -109,10 +113,38 @@ def kfold_sweep(spark: SparkSession, data: DataFrame, spec: SeriesSpec, cells: l
     return out
 
 
+def train_genomes(spark: SparkSession, work: list[tuple[Genome, list[int]]], x: np.ndarray, y: np.ndarray, held: list[int], spec: SeriesSpec, config: RunConfig, batch: int = 1) -> dict[int, Genome]:
+    """Trains genomes on the cluster, a task each, and gives them back by id with their validation error as fitness. Each comes with the places of
+    its training episodes in ``x`` and ``y``; one without is only validated, on the episodes at the places ``held``."""
+    rows = [(g.genome_id, json.dumps(g.to_row()), places) for g, places in work]
+    # The episodes of one generation, whose number the configuration bounds, travel with the job: no shuffle.
+    shared = spark.sparkContext.broadcast((rows, x, y))
+    inputs, iterations, update, rate, seed = list(spec.inputs), config.iterations, config.update, config.learning_rate, config.seed
+
+    def run(batches):
+        rows, x, y = shared.value
+        for ids in batches:
+            out = []
+            for k in ids["id"]:
+                genome_id, text, places = rows[k]
+                g = Genome.from_row(json.loads(text))
+                if places:
+                    train(g, x[places], y[places], x[held], y[held], inputs, iterations, Optimizer(update, rate), batch, seed=seed * 1_000_003 + genome_id)
+                else:
+                    g.fitness = errors(predict(g, x[held], inputs), y[held])[0]
+                out.append({"genome_id": genome_id, "genome": json.dumps(g.to_row())})
+            yield pd.DataFrame(out, columns=["genome_id", "genome"])
+
+    done = spark.range(0, len(rows), 1, min(len(rows), 4 * spark.sparkContext.defaultParallelism)).mapInPandas(run, "genome_id long, genome string").collect()
+    shared.destroy()
+    return {r["genome_id"]: Genome.from_row(json.loads(r["genome"])) for r in done}
+
+
 class OnlineRun:
     """The generation loop: draw episodes for each genome, train, validate on the next episodes, forecast the one after."""
 
-    def __init__(self, spark: SparkSession, episodes: DataFrame, spec: SeriesSpec, config: RunConfig, batch: int = 1):
+    def __init__(self, spark: SparkSession, episodes: DataFrame, spec: SeriesSpec, config: RunConfig, batch: int = 1, held_episodes: int = 4096):
+        self.held_episodes, self.held = held_episodes, {}
         self.spark, self.spec, self.config, self.batch = spark, spec, config, batch
         # The run looks at the episodes up to its last generation's test. In order of id, so that a generation's episodes are found by few blocks.
         needed = config.generations + config.training_episodes + config.validation_episodes + 1
@@ -121,7 +153,9 @@ class OnlineRun:
         self.population = Islands(config, seed_genome(list(spec.inputs), list(spec.outputs)))
         self.mse = np.ones(len(self.ids))
         self.best: Genome | None = None
+        self.began = time.perf_counter()
         self.log: list[dict] = []
+        self.time_log: list[dict] = []
         self.training_log: list[dict] = []
         self.priority_log: list[dict] = []
 
@@ -130,8 +164,22 @@ class OnlineRun:
         return max(0, min(self.config.generations, len(self.ids) - self.config.training_episodes - self.config.validation_episodes))
 
     def _fetch(self, places: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """The episodes at these places, which must rise."""
-        return _arrays(self.episodes.where(F.col("episode_id").isin([self.ids[k] for k in places])).toPandas())
+        """The episodes at these places. Missing ones are fetched together with the next ones that will be asked for; at most
+        ``held_episodes`` stay on the driver, those that were used last."""
+        missing = [k for k in places if k not in self.held]
+        if missing:
+            ahead = range(max(places) + 1, min(max(places) + 1 + self.held_episodes // 4, len(self.ids)))
+            wanted = {self.ids[k]: k for k in [*missing, *(k for k in ahead if k not in self.held)]}
+            low, high = min(wanted), max(wanted)
+            asked = self.episodes.where(F.col("episode_id").between(low, high) & F.col("episode_id").isin(list(wanted)))
+            pdf = asked.toPandas().sort_values("episode_id")
+            x, y = _arrays(pdf)
+            self.held |= {wanted[int(i)]: (x[k], y[k]) for k, i in enumerate(pdf["episode_id"])}
+        out = [self.held.pop(k) for k in places]
+        self.held |= dict(zip(places, out))
+        for k in list(self.held)[: max(0, len(self.held) - max(self.held_episodes, len(places)))]:
+            del self.held[k]
+        return np.stack([x for x, _ in out]), np.stack([y for _, y in out])
 
     def _draw(self, generation: int, genome_id: int) -> list[int]:
         """Places of training episodes for one genome: uniform, or by priority, without replacement."""
@@ -155,45 +203,26 @@ class OnlineRun:
         used = sorted({k for d in drawn.values() for k in d} | set(validation))
         place = {k: j for j, k in enumerate(used)}
         all_x, all_y = self._fetch(used + [test] * (test < len(self.ids)))
-        shared = self.spark.sparkContext.broadcast((all_x[: len(used)], all_y[: len(used)]))  # at most all drawn episodes of a generation
-        inputs, iterations, batch, update, rate, seed = list(self.spec.inputs), c.iterations, self.batch, c.update, c.learning_rate, c.seed
         held = [place[k] for k in validation]
-        work = [{"genome_id": g.genome_id, "genome": json.dumps(g.to_row()), "episodes": [place[k] for k in drawn[g.genome_id]]} for g in genomes]
-        work += [{"genome_id": g.genome_id, "genome": json.dumps(g.to_row()), "episodes": []} for g in elites]
-
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            for row in pdf.itertuples():
-                g = Genome.from_row(json.loads(row.genome))
-                x, y = shared.value
-                vx, vy = x[held], y[held]
-                if len(row.episodes):
-                    k = list(row.episodes)
-                    train(g, x[k], y[k], vx, vy, inputs, iterations, Optimizer(update, rate), batch, seed=seed * 1_000_003 + int(row.genome_id))
-                else:
-                    g.fitness = errors(predict(g, vx, inputs), vy)[0]
-                out.append({"genome_id": int(row.genome_id), "genome": json.dumps(g.to_row())})
-            return pd.DataFrame(out)
-
-        frame = self.spark.createDataFrame(pd.DataFrame(work), "genome_id long, genome string, episodes array<int>")
-        done = frame.repartition(len(work), "genome_id").groupBy("genome_id").applyInPandas(run, "genome_id long, genome string").collect()
-        trained = {r["genome_id"]: Genome.from_row(json.loads(r["genome"])) for r in done}
+        work = [(g, [place[k] for k in drawn[g.genome_id]]) for g in genomes] + [(g, []) for g in elites]
+        trained = train_genomes(self.spark, work, all_x[: len(used)], all_y[: len(used)], held, self.spec, c, self.batch)
         for g in elites:
             g.fitness = trained[g.genome_id].fitness
         self.best = p.finish(generation, [trained[g.genome_id] for g in genomes])
-        shared.destroy()
         row = {"generation": generation, "test_episode": self.ids[test] if test < len(self.ids) else -1, "best_validation_mse": self.best.fitness if self.best else math.nan, "naive_mse": math.nan, "model_mse": math.nan}
         if self.best and test < len(self.ids):
-            y, predicted = all_y[-1], predict(self.best, all_x[-1:], inputs)[0]
+            y, predicted = all_y[-1], predict(self.best, all_x[-1:], list(self.spec.inputs))[0]
             row["naive_mse"], row["model_mse"] = float(((y[1:] - y[:-1]) ** 2).mean()), float(((y[1:] - predicted[1:]) ** 2).mean())
             p.compare(generation, row["naive_mse"], row["model_mse"])
-        row["erased_island"] = p.repopulate(generation)
+        erased = p.repopulate(generation)
+        row["erased_island"], row["erased_islands"] = (erased[0] if erased else None), ";".join(map(str, erased))
         self._update_priorities(generation)
         for g in genomes:
             self.training_log.append({"genome_id": g.genome_id, "generation": generation, "indices": ";".join(str(self.ids[k]) for k in drawn[g.genome_id])})
         for island in p.islands:
             row[f"island_{island.number}_best"] = island.best()
             row[f"island_{island.number}_worst"] = island.elite[-1].fitness if island.elite else math.inf
+        self.time_log.append({"generation": generation, "elapsed_ms": (time.perf_counter() - self.began) * 1000})
         self.log.append(row)
         return row
 
@@ -232,9 +261,61 @@ class OnlineRun:
 
     def run(self) -> DataFrame:
         for g in range(len(self.log), self.generations):
-            self.step(g)
+            row = self.step(g)
+            logger.info("generation %d: best %g, naive %g, model %g, %d ms", g, row["best_validation_mse"], row["naive_mse"], row["model_mse"], self.time_log[-1]["elapsed_ms"])
         self.episodes.unpersist()
-        return self.spark.createDataFrame(pd.DataFrame(self.log).astype({"erased_island": "float64"}))
+        return self.spark.createDataFrame(pd.DataFrame(self.log).astype({"erased_island": "float64"}, errors="ignore"))
+
+
+class SearchRun:
+    """A search over a fixed set of episodes by the older strategies: steady-state islands (``island`` or no name) or species (``neat``).
+
+    Genomes are made and trained a batch of ``generated`` at a time, as a task each, and inserted in order of their id until
+    ``generations`` times ``generated`` were evaluated. Each trains on ``training_episodes`` episodes drawn for it; ``validation_episodes``
+    drawn for all validate and stay out of training.
+    """
+
+    def __init__(self, spark: SparkSession, episodes: DataFrame, spec: SeriesSpec, config: RunConfig, batch: int = 1):
+        if config.strategy == "online":
+            raise ValueError("online runs are OnlineRun's")
+        self.spark, self.spec, self.config, self.batch = spark, spec, config, batch
+        wanted = config.validation_episodes + config.generated * config.training_episodes
+        drawn = [int(r[0]) for r in sampled_ids(episodes, wanted, config.seed).collect()]  # bounded by the configuration
+        pdf = episodes.where(F.col("episode_id").isin(drawn)).toPandas()
+        self.x, self.y = _arrays(pdf)
+        order = {k: j for j, k in enumerate(sorted(int(v) for v in pdf["episode_id"]))}
+        places = [order[k] for k in drawn]
+        self.validating, self.training = places[: config.validation_episodes], places[config.validation_episodes :]
+        seed = seed_genome(list(spec.inputs), list(spec.outputs))
+        self.population = Species(config, seed) if config.strategy == "neat" else SteadyIslands(config, seed)
+        self.log: list[dict] = []
+
+    def run(self) -> DataFrame:
+        """``(evaluated, best, place, groups)`` of each inserted genome: the place or species it took and how many islands or species are filled."""
+        c, p = self.config, self.population
+        for _ in range(c.generations):
+            genomes = [p.generate() if c.strategy == "neat" else p.generate_one(c.generations * c.generated) for _ in range(c.generated)]
+            work = []
+            for g in filter(None, genomes):
+                rng = np.random.default_rng([c.seed, g.genome_id])
+                work.append((g, [self.training[int(k)] for k in rng.permutation(len(self.training))[: c.training_episodes]]))
+            trained = train_genomes(self.spark, work, self.x, self.y, self.validating, self.spec, c, self.batch)
+            for g, _ in work:
+                done = trained[g.genome_id]
+                if c.strategy == "neat":
+                    place = p.insert(done)
+                    p.check()
+                    best, groups = p.best, sum(map(bool, p.species))
+                else:
+                    place = p.insert(done, c.repopulate_every)
+                    best, groups = p.best(), sum(bool(i.elite) for i in p.islands)
+                self.log.append({"evaluated": len(self.log) + 1, "best": best.fitness if best else math.nan, "place": int(place), "groups": groups})
+        return self.spark.createDataFrame(pd.DataFrame(self.log))
+
+
+def search(spark: SparkSession, episodes: DataFrame, spec: SeriesSpec, config: RunConfig, batch: int = 1) -> OnlineRun | SearchRun:
+    """The run that the configuration's strategy names."""
+    return (OnlineRun if config.strategy == "online" else SearchRun)(spark, episodes, spec, config, batch)
 
 
 def score(spark: SparkSession, genome: Genome, episodes: DataFrame, spec: SeriesSpec) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from galewright.session import cut_lineage
+
 END = "<eos>"
 
 
@@ -23,10 +25,11 @@ def tokens(df: DataFrame, line: str, text: str) -> DataFrame:
 def vocabulary(tokens_df: DataFrame, token: str = "token") -> DataFrame:
     """``(token, word_id, n)``: ids in the order of the words, from 0. Words of all files share one numbering.
 
-    The distinct words are range-sorted into buckets by their first characters; ids are the counts of earlier buckets plus
-    the place within the bucket."""
-    words = tokens_df.groupBy(token).agg(F.count("*").alias("n")).withColumn("__b", F.substring(token, 1, 2))
-    counts = words.groupBy("__b").agg(F.count("*").alias("__k"))
+    The distinct words are written range-sorted to the shared folder with the number of their range; ids are the counts of earlier
+    ranges plus the place within the range, whatever letters the words begin with."""
+    words = tokens_df.groupBy(token).agg(F.count("*").alias("n"))
+    words = cut_lineage(words.repartitionByRange(token).withColumn("__b", F.spark_partition_id()))
+    counts = words.groupBy("__b").agg(F.count("*").alias("__k"))  # as many rows as ranges
     starts = counts.select("__b", F.coalesce(F.sum("__k").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
     place = F.row_number().over(Window.partitionBy("__b").orderBy(token)) - 1
     return words.join(starts, "__b").select(token, (F.col("__s") + place).cast("bigint").alias("word_id"), "n")

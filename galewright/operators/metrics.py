@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galewright.operators.prefix import running
+from galewright.operators.prefix import key_bucket, numbered, running
 from galewright.operators.series import neighbours
 
 
@@ -41,10 +41,11 @@ def naive_comparison(df: DataFrame, group: str, expected: str, before: str, pred
 
 
 def running_wins(df: DataFrame, generation: str, winner: str = "winner") -> DataFrame:
-    """Wins of the naive forecast and of the model up to each generation (one row per generation)."""
-    w = Window.orderBy(generation).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    count = lambda who: F.sum(F.when(F.col(winner) == who, 1).otherwise(0)).over(w).cast("bigint")
-    return df.select(generation, winner, count("naive").alias("naive_wins"), count("model").alias("model_wins"))
+    """Wins of the naive forecast and of the model up to each generation (one row per generation), counted over buckets of generations."""
+    out = df.select(generation, winner).withColumn("__all", F.lit(1))
+    for who in ("naive", "model"):
+        out = running(out, ["__all"], [generation], key_bucket(df, generation), F.when(F.col(winner) == who, 1).otherwise(0), f"{who}_wins")
+    return out.select(generation, winner, *[F.col(f"{who}_wins").cast("bigint").alias(f"{who}_wins") for who in ("naive", "model")])
 
 
 def running_best(df: DataFrame, group: str, order: Sequence[str], value: str, bucket: Column) -> DataFrame:
@@ -68,7 +69,12 @@ def deviation_ranks(groups: DataFrame, output: str, run_type: str, value: str) -
     w = Window.partitionBy(output)
     z = (F.col(value) - F.avg(value).over(w)) / F.nullif(F.stddev_samp(value).over(w), F.lit(0.0))
     means = groups.withColumn("__z", z).groupBy(run_type).agg(F.avg("__z").alias("mean_z"))
-    return means.withColumn("place", F.rank().over(Window.orderBy(F.round("mean_z", 9))).cast("bigint"))
+    # Equal means are counted together; a rank is the count of lower ones and one.
+    same = means.groupBy(F.round("mean_z", 9).alias("__m")).agg(F.count("*").alias("__n"))
+    cuts = numbered(same, "__m", [], "__k").withColumn("__all", F.lit(1))
+    ranks = running(cuts, ["__all"], ["__k"], F.floor(F.col("__k") / 65_536), F.col("__n"), "__upto")
+    place = (F.col("__upto") - F.col("__n") + 1).cast("bigint").alias("place")
+    return means.join(ranks.select("__m", place), F.round("mean_z", 9).eqNullSafe(F.col("__m"))).drop("__m")
 
 
 def merge_runs(df: DataFrame, run: str, order: Sequence[str], value: str, bucket: Column) -> DataFrame:

@@ -34,3 +34,15 @@ def key_bucket(df: DataFrame, key: str, width: int = 65_536) -> Column:
     if dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
         return F.floor(F.col(key) / width)
     return F.substring(F.col(key).cast("string"), 1, 3)
+
+
+def numbered(df: DataFrame, value: str, ties: Sequence[str], name: str, descending: bool = False, ranges: int = 256) -> DataFrame:
+    """``df`` with each row's place, from 1, in the order of a numeric column and then of ``ties``; nulls and NaN last. Rows are ordered within ranges of
+    the value between approximate quantiles (one row of statistics), so that no task holds all."""
+    v = F.col(value).cast("double")
+    keyed = df.withColumns({"__all": F.lit(1), "__v": F.when(~F.isnan(v), -v if descending else v)})
+    cuts = df.select(F.when(~F.isnan(v), -v if descending else v).alias("__v")).agg(F.percentile_approx("__v", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), F.lit(10 * ranges)).alias("__cuts"))
+    placed = keyed.crossJoin(F.broadcast(cuts))  # one row
+    bucket = F.coalesce(F.when(F.col("__v").isNotNull(), F.size(F.filter("__cuts", lambda c: c < F.col("__v")))), F.lit(ranges))
+    counted = running(placed, ["__all"], [F.col("__v").asc_nulls_last(), *ties], bucket, F.lit(1), name)
+    return counted.withColumn(name, F.col(name).cast("bigint")).drop("__all", "__v", "__cuts")

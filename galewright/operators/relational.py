@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from galewright.operators.prefix import running
+from galewright.operators.prefix import numbered, running
 
 
 def merge_by_key(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -28,18 +28,18 @@ def with_partner(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFram
     return df.join(other.select(*on), list(on), "left_semi")
 
 
-def outpaced(df: DataFrame, group: str, row_id: str, cost: str, factor: float = 4.0, width: float = 10_000.0) -> DataFrame:
+def outpaced(df: DataFrame, group: str, row_id: str, cost: str, factor: float = 4.0) -> DataFrame:
     """Rows that cost more than ``factor`` times another row of their group, with the number of such rows. Costs are not negative.
 
     Not a join of a group with itself: the cheaper rows of a group are a prefix of its costs in order, so each row counts
-    them by a running count over the costs and the costs times the factor, in buckets of ``width``.
+    them by a running count over the costs and the costs times the factor, in buckets of the logarithm, whatever the unit.
     """
     own = df.where(f"`{group}` IS NOT NULL AND `{cost}` IS NOT NULL").select(group, row_id, F.col(cost).cast("double").alias("__c"))
     none = F.lit(None).cast(dict(own.dtypes)[row_id])
     mark, row = F.struct((F.col("__c") * factor).alias("__at"), F.lit(1).alias("__mark"), none.alias("__id")), F.struct(F.col("__c").alias("__at"), F.lit(0).alias("__mark"), F.col(row_id).alias("__id"))
     both = own.select(group, F.col("__c").alias("__cost"), F.inline(F.array(mark, row)))
     # At equal places rows come before marks, because the cost must be more than the factor's multiple.
-    counted = running(both, [group], ["__at", "__mark"], F.floor(F.col("__at") / width), F.col("__mark"), "n_cheaper").where("__mark = 0 AND n_cheaper > 0")
+    counted = running(both, [group], ["__at", "__mark"], F.floor(F.log1p(F.col("__at")) * 256), F.col("__mark"), "n_cheaper").where("__mark = 0 AND n_cheaper > 0")
     return counted.select(group, F.col("__id").alias(row_id), F.col("__cost").alias(cost), F.col("n_cheaper").cast("bigint").alias("n_cheaper"))
 
 
@@ -65,7 +65,7 @@ def bounded_population(df: DataFrame, island: str, structure: str, score: str, a
 def rank_groups(df: DataFrame, group: str, score: str) -> DataFrame:
     """Groups from worst to best by their best score."""
     best = df.groupBy(group).agg(F.min(score).alias("best"))
-    return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("best").desc(), F.col(group))).cast("bigint"))
+    return numbered(best, "best", [group], "place", descending=True)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

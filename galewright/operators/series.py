@@ -161,6 +161,18 @@ def availability(episode_ids: DataFrame, generations: DataFrame, train: int, val
     return wanted.join(episode_ids.select(episode), episode, "left_semi").select(generation, episode, role.alias("role"))
 
 
+def availability_ranges(generations: DataFrame, train: int, validation: int, generation: str = "generation") -> DataFrame:
+    """The same windows as one row per generation: ``train_past`` (episodes from 0 before it train), ``validation_past`` (from there on before it validate) and
+    ``test``, the one after. Rows grow with the generations only."""
+    c = (F.col(generation) + train).cast("bigint")
+    return generations.select(generation, c.alias("train_past"), (c + validation).alias("validation_past"), (c + validation).alias("test"))
+
+
+def fold_membership(series_ids: DataFrame, series: str, fold_size: int) -> DataFrame:
+    """The fold in which each series tests; it trains in all others. One row per series."""
+    return series_ids.select(series, F.floor(F.col(series) / fold_size).cast("bigint").alias("test_fold"))
+
+
 def folds(series_ids: DataFrame, series: str, fold_size: int) -> DataFrame:
     """Fold of each series and its role when each fold in turn is held out. ``fold_size`` 1 leaves one out."""
     own = series_ids.select(series, F.floor(F.col(series) / fold_size).alias("own"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from galewright.evolve.variation import RATES
 from galewright.functions import scalar as X
 from galewright.operators import corpus as C
 from galewright.operators import metrics as M
@@ -265,7 +266,7 @@ def sample_permutation(spark, d):
 
 
 def sample_mutations(spark, d):
-    rates = [("clone", 1.0), ("add_edge", 1.0), ("add_recurrent_edge", 1.0), ("enable_edge", 1.0), ("disable_edge", 3.0), ("add_node", 1.0)]
+    rates = [(name, rate) for name, rate in RATES.items() if rate]
     c = P.choose_by_rates(F.col("o_orderkey"), 5, rates)
     return table(spark, d, "orders").groupBy(c.alias("op")).agg(F.count("*").alias("n"))
 
@@ -466,7 +467,8 @@ ORACLES = {
     "sample_weighted": f"SELECT event_id FROM events ORDER BY -ln({_u('event_id', 7)}) / pow(abs(value) + 1e-8, 0.6), event_id LIMIT 300",
     "sample_stratified": f"SELECT event_id, event_type FROM (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY {_u('event_id', 7)}, event_id) AS k FROM events) WHERE k <= 20",
     "sample_permutation": f"SELECT o_orderkey, row_number() OVER (ORDER BY {_u('o_orderkey', 11)}, o_orderkey) - 1 AS place FROM orders",
-    "sample_mutations": f"WITH x AS (SELECT {_u('o_orderkey', 5)} * 8.0::DOUBLE AS u FROM orders) SELECT CASE WHEN u < 1 THEN 'clone' WHEN u < 2 THEN 'add_edge' WHEN u < 3 THEN 'add_recurrent_edge' WHEN u < 4 THEN 'enable_edge' WHEN u < 7 THEN 'disable_edge' ELSE 'add_node' END AS op, count(*) AS n FROM x GROUP BY op",
+    "sample_mutations": f"""SELECT ['clone', 'add_edge', 'add_recurrent_edge', 'enable_edge', 'disable_edge', 'add_node', 'enable_node', 'disable_node', 'split_node', 'merge_node'][CAST(floor({_u('o_orderkey', 5)} * 10.0::DOUBLE) AS INT) + 1] AS op,
+    count(*) AS n FROM orders GROUP BY op""",
     "sample_normal": f"SELECT o_orderkey, round(10 + 2 * sqrt(-2 * ln({_u('o_orderkey', 3)})) * cos(2 * pi() * {_u('o_orderkey', 7922)}), 6) AS z FROM orders",
     "sample_gumbel": f"SELECT o_orderkey, round(-ln(-ln({_u('o_orderkey', 9)})), 6) AS g FROM orders",
     "priority_values": f"WITH {_ST} SELECT episode_id, round({_PR.format(g=200)}, 6) AS priority FROM st",

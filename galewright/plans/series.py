@@ -142,6 +142,16 @@ def train_val_test_windows(spark, d):
     return S.availability(_episode_ids(spark, d), g.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "generation"), 10, 3)
 
 
+def train_val_test_ranges(spark, d):
+    """The same windows as ranges, one row per generation."""
+    g = n_generations(spark, d).where("n_generations > 0").select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_generations") - 1)).alias("generation"))
+    return S.availability_ranges(g, 10, 3)
+
+
+def fold_membership(spark, d):
+    return S.fold_membership(table(spark, d, "orders").select(F.col("o_orderkey").alias("series")).distinct(), "series", 1000)
+
+
 def n_generations(spark, d):
     return _episode_ids(spark, d).agg((F.count("*") - 10 - 3 - 1).alias("n_generations"))
 
@@ -263,7 +273,7 @@ QUERIES = {
     "norm_avg_var": _scaled("avg_var"), "denorm_min_max": denorm_min_max, "norm_given_bounds": norm_given_bounds, "norm_outside": norm_outside,
     "offset_pairs_1": _pairs(1), "offset_pairs_5": _pairs(5), "shifted_inputs": _pairs(3, True), "lag_corr": lag_corr, "lag_corr_matrix": lag_corr_matrix,
     "episodes_20": episodes_20, "episode_stats": episode_stats, "split_n": split_n, "train_val_test_windows": train_val_test_windows,
-    "n_generations": n_generations, "kfold_assign": kfold_assign, "loo_assign": loo_assign, "naive_errors": naive_errors, "naive_worst_episodes": naive_worst_episodes,
+    "train_val_test_ranges": train_val_test_ranges, "fold_membership": fold_membership, "n_generations": n_generations, "kfold_assign": kfold_assign, "loo_assign": loo_assign, "naive_errors": naive_errors, "naive_worst_episodes": naive_worst_episodes,
     "dataset_error": dataset_error, "multi_output_error": multi_output_error, "softmax_loss": softmax_loss, "naive_wins": naive_wins, "running_wins": running_wins,
     "running_best": running_best, "prediction_frame": prediction_frame, "prediction_by_rank": prediction_by_rank, "multi_offset_alignment": multi_offset_alignment,
     "delayed_sum": delayed_sum, "skip_stats": skip_stats, "merge_runs_clipped": merge_runs_clipped, "population_statistics": population_statistics,
@@ -320,6 +330,8 @@ ORACLES = {
     "train_val_test_windows": f"""WITH {_EP}, i AS (SELECT DISTINCT episode_id FROM ep), n AS (SELECT count(*) AS n FROM i) SELECT g AS generation, episode_id, CASE WHEN episode_id < g + 10 THEN 'train' WHEN episode_id < g + 13 THEN 'validation' ELSE 'test' END AS role
     FROM i JOIN (SELECT unnest(range(0, greatest(n - 14, 0))) AS g FROM n) ON episode_id <= g + 13""",
     "n_generations": f"WITH {_EP} SELECT count(DISTINCT episode_id) - 14 AS n_generations FROM ep",
+    "train_val_test_ranges": f"WITH {_EP}, n AS (SELECT count(DISTINCT episode_id) - 14 AS n FROM ep) SELECT g AS generation, g + 10 AS train_past, g + 13 AS validation_past, g + 13 AS test FROM (SELECT unnest(range(0, greatest(n, 0))) AS g FROM n)",
+    "fold_membership": "SELECT DISTINCT o_orderkey AS series, o_orderkey // 1000 AS test_fold FROM orders",
     "kfold_assign": "SELECT n_nationkey AS series, f AS fold, CASE WHEN n_nationkey // 5 = f THEN 'test' ELSE 'train' END AS role FROM nation, (SELECT unnest(range(0, 5)) AS f)",
     "loo_assign": "SELECT r_regionkey AS series, f AS fold, CASE WHEN r_regionkey = f THEN 'test' ELSE 'train' END AS role FROM region, (SELECT unnest(range(0, 5)) AS f)",
     "naive_errors": f"WITH {_NE} SELECT episode_id, round(mse, 4) AS mse, round(mae, 6) AS mae FROM er",

@@ -86,6 +86,10 @@ class RunConfig:
     mutation_weights: str = "lamarckian"
     repopulation: str = "best_genome"
     repopulate_every: int = 0
+    erased_islands: int = 1
+    repeat_extinction: bool = False
+    mutations: int = 1
+    repopulation_mutations: int = 0
     training_episodes: int = 300
     validation_episodes: int = 25
     prioritized: bool = True
@@ -107,7 +111,7 @@ class RunConfig:
             rule = getattr(self, name)
             if rule not in ("lamarckian", "gp") and rule != self.weight_rule:
                 raise ValueError(f"{name} must be lamarckian, gp or {self.weight_rule}")
-        for name in ("islands", "island_size", "generated", "generations", "iterations", "training_episodes", "validation_episodes"):
+        for name in ("islands", "island_size", "generated", "generations", "iterations", "training_episodes", "validation_episodes", "erased_islands", "mutations"):
             if getattr(self, name) < 1:
                 raise ValueError(f"{name} must be at least 1")
 

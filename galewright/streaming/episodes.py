@@ -40,7 +40,7 @@ def episodes_from_stream(df: DataFrame, series: str, order: str, value: str, len
 
 def naive_scores(episodes: DataFrame) -> DataFrame:
     """Each episode's mean squared error of the value before, for streams and batches."""
-    pairs = F.zip_with(F.slice("values", 2, 1_000_000), F.slice("values", 1, F.size("values") - 1), lambda a, b: (a - b) * (a - b))
+    pairs = F.zip_with(F.slice("values", F.lit(2), F.greatest(F.size("values") - 1, F.lit(0))), F.slice("values", 1, F.size("values") - 1), lambda a, b: (a - b) * (a - b))
     return episodes.withColumn("naive_mse", F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(pairs), F.lit(0)))
 
 

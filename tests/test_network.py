@@ -268,3 +268,35 @@ def test_simplex():
         out = simplex_step({"a": 2.0, "b": 0.0}, [{"a": 1.0, "b": 1.0}, {"a": 0.0, "b": 0.0}], {"a": (0.0, 2.5), "b": (-1.0, 1.0)}, rng)
         assert 0 <= out["a"] <= 2.5 and -1 <= out["b"] <= 1
         assert out["a"] == 2.5 or out["a"] == 0 or np.isclose((out["a"] - 0.5) / 1.5, (out["b"] - 0.5) / -0.5)
+
+
+def test_several_islands_are_erased_and_some_spared():
+    def filled(**more):
+        i = Islands(RunConfig(islands=4, island_size=2, generated=1, repopulate_every=2, **more), seed_genome(IN, ["y"]))
+        for k, island in enumerate(i.islands):
+            g = made(seed=k)
+            g.fitness = float(k)
+            island.elite = [g]
+        return i
+
+    i = filled(erased_islands=2)
+    assert i.repopulate(4) == [] and i.repopulate(5) == [] and i.repopulate(6) == [3, 2]
+    for k in (2, 3):
+        i.islands[k].elite = [made(seed=9)]
+        i.islands[k].elite[0].fitness = 9.0
+    assert i.repopulate(8) == [1, 0]  # 2 and 3 are spared
+    again = filled(erased_islands=1, repeat_extinction=True)
+    assert again.repopulate(6) == [3]
+    again.islands[3].elite = [made(seed=9)]
+    again.islands[3].elite[0].fitness = 9.0
+    assert again.repopulate(8) == [3]
+
+
+def test_edges_of_both_parents_are_enabled():
+    a, b = made(seed=1), made(seed=2)
+    a.edges[0].enabled = b.edges[0].enabled = False
+    a.fitness, b.fitness = 0.1, 0.2
+    child = crossover(a, b, np.random.default_rng(3))
+    assert next(e for e in child.edges if e.innovation == a.edges[0].innovation).enabled
+    drawn = crossover(a, b, np.random.default_rng(3), rule="gp")
+    assert all(e.weight == 1.0 for e in drawn.edges)

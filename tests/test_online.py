@@ -57,3 +57,35 @@ def test_a_saved_run_goes_on_as_if_unbroken(spark, tmp_path):
     second.resume(str(tmp_path / "state"))
     second.run()
     assert [r["best_validation_mse"] for r in second.log] == [r["best_validation_mse"] for r in whole.log]
+
+
+def small(**more):
+    return RunConfig(**(dict(islands=2, island_size=3, generated=2, generations=3, iterations=1, training_episodes=5, validation_episodes=2, seed=4, max_recurrent_depth=3) | more))
+
+
+def test_the_strategy_names_the_run(spark):
+    e = episodes(spark)
+    runs = {s: online.search(spark, e, SPEC, small(strategy=s), batch=5) for s in ("online", "island", "neat")}
+    logs = {s: r.run() for s, r in runs.items()}
+    assert isinstance(runs["online"], online.OnlineRun) and "naive_mse" in logs["online"].columns
+    for s in ("island", "neat"):
+        rows = logs[s].orderBy("evaluated").collect()
+        assert len(rows) == 6 and all(a["best"] >= b["best"] for a, b in zip(rows, rows[1:])) and rows[-1]["groups"] >= 1
+        again = online.search(spark, e, SPEC, small(strategy=s), batch=5).run().orderBy("evaluated").collect()
+        assert again == rows
+    assert type(runs["island"].population).__name__ == "SteadyIslands" and type(runs["neat"].population).__name__ == "Species"
+
+
+def test_each_field_of_the_configuration_changes_the_run(spark):
+    """What is checked is used: weight rules and numbers of mutations lead to other networks."""
+    e = episodes(spark).persist()
+    fit = lambda **more: [r["best_validation_mse"] for r in online.OnlineRun(spark, e, SPEC, small(generations=5, **more), batch=5).run().orderBy("generation").collect()]
+    base = fit()
+    for more in ({"mutations": 3}, {"mutation_weights": "xavier"}, {"crossover_weights": "xavier"}, {"weight_rule": "random"}, {"prioritized": False}, {"learning_rate": 0.1}):
+        assert fit(**more) != base, more
+
+
+def test_few_episodes_stay_on_the_driver(spark):
+    """A run that may hold fewer episodes than it draws fetches more often and gives the same."""
+    logs = [online.OnlineRun(spark, episodes(spark), SPEC, small(), batch=5, held_episodes=n).run().collect() for n in (1, 4096)]
+    assert logs[0] == logs[1]
