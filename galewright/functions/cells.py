@@ -5,17 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from galewright.functions.scalar import sigmoid
+from galewright.functions.scalar import leaky_relu, sigmoid, swish
+from galewright.nn.cells import ENARC_GRAPH, ENAS_GRAPH, RANDOM_GRAPH
 
-CELL_STATES = {"lstm": 2}
+GRAPHS = {"enarc": ENARC_GRAPH, "enas": ENAS_GRAPH, "random_dag": RANDOM_GRAPH}
+_ACT = {"tanh": F.tanh, "leaky": leaky_relu, "swish": swish, "sigmoid": sigmoid}
+_PLAIN = {
+    "simple": F.tanh, "jordan": F.tanh, "elman": F.tanh, "tanh": F.tanh, "sin": F.sin, "cos": F.cos, "sigmoid": sigmoid, "sum": lambda v: v, "linear": lambda v: v, "multiply": lambda v: v,
+    "inverse": lambda v: F.when(v == 0, 0.0).otherwise(1 / v),
+}
+
+
+def _graph_step(graph: list, k: list[Column], x: Column, h: Column) -> Column:
+    """A searched cell: its inner nodes hold the activations of weighted sums of earlier ones; those that feed no other one are its output."""
+    parts, used = [F.tanh(k[0] * x + k[1] * h)], {0}
+    for j, (sources, act) in enumerate(graph):
+        total = F.lit(0.0)
+        for source in sources if isinstance(sources, tuple) else (sources,):
+            used.add(source)
+            if source < len(parts):
+                total = total + parts[source]
+        parts.append(_ACT[act](k[j + 2] * total))
+    out = F.lit(0.0)
+    for j, part in enumerate(parts):
+        if j not in used:
+            out = out + part
+    return out
 
 
 def _step(cell: str, w: list[float], x: Column, h: Column, c: Column) -> tuple[Column, Column]:
     """(output, inner state) of one time; ``h`` is the output before, ``c`` the inner state before."""
     k = [F.lit(float(v)) for v in w]
-    if cell == "simple":
-        return F.tanh(x + k[0]), c
-    if cell == "lstm":
+    if cell in _PLAIN:
+        return _PLAIN[cell](x + k[0]), c
+    if cell in GRAPHS:
+        return _graph_step(GRAPHS[cell], k, x, h), c
+    if cell in ("lstm", "online_lstm"):
         o, i, f = (sigmoid(k[j] * x + k[j + 1] * c + k[j + 2] + (1.0 if j == 6 else 0.0)) for j in (0, 3, 6))
         new = f * c + i * F.tanh(k[9] * x + k[10])
         return o * new, new

@@ -11,17 +11,20 @@ from pyspark.sql import functions as F
 
 from galewright import online
 from galewright.functions.cells import run_cell
+from galewright.nn.training import Optimizer
 from galewright.operators import images as I
 from galewright.operators import series as S
 from galewright.operators.sampling import hash_unit
 from galewright.plans.series import EPISODE, _EP, events, r
 from galewright.session import table
-from galewright.spec import RunConfig, SeriesSpec
+from galewright.spec import UPDATES, RunConfig, SeriesSpec
 
 # Fixed weights of the cells that queries run.
 WEIGHTS = {
     "simple": [0.1], "mgu": [0.5, -0.3, 0.1, 0.8, 0.4, -0.1], "gru": [0.4, 0.3, -0.1, 0.6, -0.2, 0.05, 0.9, 0.5, 0.0], "ugrnn": [0.7, 0.2, 0.1, 0.3, -0.4, 0.0],
-    "delta": [0.1, -0.2, 0.3, 0.5, 0.0, -0.1], "lstm": [0.3, 0.1, 0.0, 0.5, -0.2, 0.1, 0.2, 0.4, 0.0, 0.9, 0.05],
+    "delta": [0.1, -0.2, 0.3, 0.5, 0.0, -0.1], "jordan": [-0.2], "elman": [0.3], "tanh": [0.2], "sin": [0.4], "cos": [-0.1], "sigmoid": [0.2], "sum": [0.05], "linear": [-0.3], "multiply": [0.6], "inverse": [1.5],
+    "enarc": [0.7, 0.3, 0.9, -0.4, 0.8, 0.5, -0.6, 0.4, 0.3, -0.2], "enas": [0.6, -0.2, 0.5, 0.7, -0.3, 0.9, 0.4, -0.5, 0.8, 0.2], "random_dag": [0.8, 0.4, 0.3, -0.6, 0.5, 0.7, -0.2, 0.9, 0.1, 0.6],
+    "online_lstm": [0.2, -0.1, 0.05, 0.4, 0.3, 0.0, -0.2, 0.5, 0.1, 0.7, -0.05], "lstm": [0.3, 0.1, 0.0, 0.5, -0.2, 0.1, 0.2, 0.4, 0.0, 0.9, 0.05],
 }
 
 
@@ -140,7 +143,48 @@ def image_operations(spark, d):
     return e.join(n, ["genome_id", "output_node_innovation_number"]).groupBy("genome_id").agg(F.sum(cost).alias("operations"))
 
 
-QUERIES = {f"cell_{c}": _cell(c) for c in WEIGHTS} | {f.__name__: f for f in (
+def _step_query(method: str):
+    """Two steps of a method from weights and gradients that orders give: one weight per customer segment and priority, gradients scaled to a norm between
+    0.05 and 1 per segment."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        o = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        cell = o.groupBy("c_mktsegment", "o_orderpriority").agg((F.avg("o_totalprice") / 100_000).alias("w"), ((F.avg("c_acctbal") - 4_500) / 1_000).alias("g1"), ((F.stddev_samp("c_acctbal") - 3_000) / 1_000).alias("g2"))
+        lists = cell.groupBy("c_mktsegment").agg(F.array_sort(F.collect_list(F.struct("o_orderpriority", "w", "g1", "g2"))).alias("r"))  # a genome's weights
+
+        def steps(batches):
+            for b in batches:
+                for segment, rows in zip(b["c_mktsegment"], b["r"]):
+                    rows = [r.asDict() if hasattr(r, "asDict") else dict(r) for r in rows]
+                    get = lambda c, rows=rows: np.array([r[c] for r in rows], float)
+                    opt, w = Optimizer(method, rate=0.1), get("w")
+                    for g in ("g1", "g2"):
+                        w = opt.step(w, get(g))
+                    yield pd.DataFrame({"c_mktsegment": segment, "o_orderpriority": [r["o_orderpriority"] for r in rows], "weight": w})
+
+        out = lists.mapInPandas(steps, "c_mktsegment string, o_orderpriority string, weight double")
+        return out.select("c_mktsegment", "o_orderpriority", r("weight", 5).alias("weight"))
+
+    return run
+
+
+def _step_sql(method: str) -> str:
+    first = {
+        "vanilla": ("-0.1 * a", "-0.1 * b"), "momentum": ("-0.1 * a", "0.9 * (-0.1 * a) - 0.1 * b"),
+        "nesterov": ("1.9 * (-0.1 * a)", "1.9 * (0.9 * (-0.1 * a) - 0.1 * b) - 0.9 * (-0.1 * a)"),
+        "adagrad": ("-0.1 * a / (abs(a) + 1e-8)", "-0.1 * b / (sqrt(a * a + b * b) + 1e-8)"),
+        "rmsprop": ("-0.1 * a / (sqrt(0.1 * a * a) + 1e-8)", "-0.1 * b / (sqrt(0.9 * 0.1 * a * a + 0.1 * b * b) + 1e-8)"),
+        "adam": ("-0.1 * (0.1 * a) / (sqrt(0.01 * a * a) + 1e-8)", "-0.1 * (0.09 * a + 0.1 * b) / (sqrt(0.0099 * a * a + 0.01 * b * b) + 1e-8)"),
+        "adam-bias": ("-0.1 * a / (abs(a) + 1e-8)", "-0.1 * ((0.09 * a + 0.1 * b) / 0.19) / (sqrt((0.0099 * a * a + 0.01 * b * b) / 0.0199) + 1e-8)"),
+    }
+    one, two = first[method]
+    scale = "g{k} * CASE WHEN n{k} > 1 THEN 1 / n{k} WHEN n{k} > 0 AND n{k} < 0.05 THEN 0.05 / n{k} ELSE 1 END"
+    return f"""WITH c AS (SELECT c_mktsegment, o_orderpriority, avg(o_totalprice) / 100000 AS w, (avg(c_acctbal) - 4500) / 1000 AS g1, (stddev_samp(c_acctbal) - 3000) / 1000 AS g2 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    n AS (SELECT *, sqrt(sum(g1 * g1) OVER s) AS n1, sqrt(sum(g2 * g2) OVER s) AS n2 FROM c WINDOW s AS (PARTITION BY c_mktsegment)), x AS (SELECT c_mktsegment, o_orderpriority, w, {scale.format(k=1)} AS a, {scale.format(k=2)} AS b FROM n)
+    SELECT c_mktsegment, o_orderpriority, round(least(greatest(least(greatest(w + {one}, -10), 10) + {two}, -10), 10), 5) AS weight FROM x"""
+
+
+QUERIES = {f"cell_{c}": _cell(c) for c in WEIGHTS} | {f"step_{m.replace('-', '_')}": _step_query(m) for m in UPDATES} | {f.__name__: f for f in (
     train_small, kfold_sweep, evolve_small, image_channel_stats, image_convolution, image_pooling, image_heat_map, image_heat_top, image_crop, image_subimages, image_classification, image_class_sizes, image_operations,
 )}
 
@@ -148,12 +192,37 @@ _SIG = "(1 / (1 + exp(-({0}))))"
 _TANH = "(2 / (1 + exp(-2 * ({0}))) - 1)"
 
 
+# The searched cells node by node, written out: each is named and made of the ones before it.
+GRAPH_SQL = {
+    "enarc": (["tanh n0", "tanh n1", "leaky n1", "leaky n2", "swish n3", "swish n1", "tanh n3", "swish n3"], "n4 + n5 + n6 + n7 + n8"),
+    "enas": (["tanh n0", "tanh n0", "leaky n0", "leaky n1", "sigmoid n4", "swish n2", "tanh n4", "swish n3"], "n5 + n6 + n7 + n8"),
+    "random_dag": (["tanh 0", "tanh 0", "leaky 0", "leaky 0", "sigmoid n1 + n1", "swish n1", "tanh 0"], "n2 + n3 + n4 + n5 + n6 + n7"),
+}
+
+
+def _graph_sql(name: str, w: list[str]) -> str:
+    """The recursion with one column per inner node, by lateral joins."""
+    act = {"tanh": _TANH, "sigmoid": _SIG, "leaky": "greatest(0.01::DOUBLE * ({0}), ({0}))", "swish": "(({0}) * " + _SIG + ")"}
+    nodes, out = GRAPH_SQL[name]
+    laterals = f", LATERAL (SELECT {_TANH.format(f'{w[0]} * p.x + {w[1]} * rec.h')} AS n0) l0"
+    for k, node in enumerate(nodes):
+        kind, total = node.split(" ", 1)
+        laterals += f", LATERAL (SELECT {act[kind].format(f'{w[k + 2]} * ({total})')} AS n{k + 1}) l{k + 1}"
+    return f"""WITH RECURSIVE {_EP}, p AS (SELECT episode_id, step, value / 100 AS x FROM ep),
+    rec(episode_id, step, h) AS (SELECT episode_id, CAST(-1 AS BIGINT), 0::DOUBLE FROM (SELECT DISTINCT episode_id FROM p)
+    UNION ALL SELECT rec.episode_id, rec.step + 1, {out} FROM rec JOIN p ON p.episode_id = rec.episode_id AND p.step = rec.step + 1{laterals})
+    SELECT episode_id, round(max(h) FILTER (step = 19), 6) AS last_y, round(sum(h), 5) AS sum_y FROM rec GROUP BY episode_id"""
+
+
 def _cell_sql(name: str) -> str:
     w = [f"({float(v)}::DOUBLE)" for v in WEIGHTS[name]]
     sig, tanh = _SIG.format, _TANH.format
     c = "c"
-    if name == "simple":
-        y = tanh(f"x + {w[0]}")
+    plain = {"sin": "sin({0})", "cos": "cos({0})", "sigmoid": _SIG, "inverse": "(1 / ({0}))"} | dict.fromkeys(("simple", "jordan", "elman", "tanh"), _TANH) | dict.fromkeys(("sum", "linear", "multiply"), "({0})")
+    if name in plain:
+        y = plain[name].format(f"x + {w[0]}")
+    elif name in GRAPH_SQL:
+        return _graph_sql(name, w)
     elif name == "gru":
         z, q = sig(f"{w[2]} + {w[1]} * h + {w[0]} * x"), sig(f"{w[5]} + {w[3]} * x + {w[4]} * h")
         y = f"{z} * h + (1 - {z}) * " + tanh(f"{w[8]} + {w[6]} * x + {w[7]} * {q} * h")
@@ -181,7 +250,7 @@ _PX = "px AS (SELECT vec_id, label, (k - 1) // 8 AS y, (k - 1) % 8 AS x, embeddi
 _HEAT = """hm AS (SELECT vec_id, y + dy AS py, x + dx AS px, sum(s) AS heat, count(*) AS overlap FROM (SELECT vec_id, embedding[1]::DOUBLE AS s FROM embeddings), (SELECT unnest([0, 2, 4]) AS y), (SELECT unnest([0, 2, 4]) AS x),
 (SELECT unnest(range(0, 4)) AS dy), (SELECT unnest(range(0, 4)) AS dx) GROUP BY ALL), hn AS (SELECT vec_id, py, px, round(heat / max(overlap) OVER (PARTITION BY vec_id), 5) AS heat, overlap FROM hm)"""
 
-ORACLES = {f"cell_{c}": _cell_sql(c) for c in WEIGHTS} | {
+ORACLES = {f"cell_{c}": _cell_sql(c) for c in WEIGHTS} | {f"step_{m.replace('-', '_')}": _step_sql(m) for m in UPDATES} | {
     "image_channel_stats": f"""WITH {_PX}, m AS (SELECT x % 2 AS channel, avg(v) AS mean FROM px GROUP BY ALL), d AS (SELECT x % 2 AS channel, vec_id, any_value(mean) AS mean, avg((v - mean) ** 2) AS q FROM px JOIN m ON m.channel = x % 2 GROUP BY ALL)
     SELECT channel, round(any_value(mean), 5) AS mean, round(sqrt(avg(q)), 5) AS sd FROM d GROUP BY channel""",
     "image_convolution": f"""WITH {_PX}, c AS (SELECT a.vec_id, a.y, a.x, sum(b.v * ((b.y - a.y) * 3 + b.x - a.x) / 10) AS o FROM px a JOIN px b ON a.vec_id = b.vec_id AND b.y - a.y BETWEEN 0 AND 2 AND b.x - a.x BETWEEN 0 AND 2 WHERE a.y <= 5 AND a.x <= 5 GROUP BY ALL)
