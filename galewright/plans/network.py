@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from galewright import online
 from galewright.functions.cells import run_cell
+from galewright.nn.genome import HIDDEN, INPUT, OUTPUT, Edge, Genome, Node
 from galewright.nn.training import Optimizer
 from galewright.operators import images as I
 from galewright.operators import series as S
@@ -48,6 +49,20 @@ def _training(spark: SparkSession, d: str):
     return online.prepare_episodes(e, "user_id", "t", spec), spec
 
 
+def _network() -> Genome:
+    """Two inputs, a tanh cell with a delayed connection to itself, a linear output that also sees the first input two steps late."""
+    nodes = [Node(1, INPUT, "linear", 0.0, "value", True, [0.1]), Node(2, INPUT, "linear", 0.0, "log_value", True, [-0.2]), Node(3, HIDDEN, "simple", 0.5, None, True, [0.05]), Node(4, OUTPUT, "linear", 1.0, "value", True, [0.3])]
+    edges = [Edge(1, 1, 3, 0, 0.7), Edge(2, 2, 3, 0, -0.4), Edge(3, 3, 3, 1, 0.5), Edge(4, 3, 4, 0, 0.9), Edge(5, 1, 4, 2, -0.6), Edge(6, 2, 4, 0, 5.0, False)]
+    return Genome(nodes, edges)
+
+
+def network_forward(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of a fixed network over all episodes, in Arrow batches."""
+    data, spec = _training(spark, d)
+    p = online.score(spark, _network(), data, spec)
+    return p.groupBy("episode_id").agg(r(F.sum("predicted"), 5).alias("sum_predicted"), r(F.max(F.when(F.col("step") == spec.length - 1, F.col("predicted")))).alias("last_predicted"), r(F.avg((F.col("predicted") - F.col("expected")) ** 2)).alias("mse"))
+
+
 def train_small(spark: SparkSession, d: str) -> DataFrame:
     """Three architectures trained together on all episodes; every fifth by hash validates."""
     data, spec = _training(spark, d)
@@ -185,7 +200,7 @@ def _step_sql(method: str) -> str:
 
 
 QUERIES = {f"cell_{c}": _cell(c) for c in WEIGHTS} | {f"step_{m.replace('-', '_')}": _step_query(m) for m in UPDATES} | {f.__name__: f for f in (
-    train_small, kfold_sweep, evolve_small, image_channel_stats, image_convolution, image_pooling, image_heat_map, image_heat_top, image_crop, image_subimages, image_classification, image_class_sizes, image_operations,
+    network_forward, train_small, kfold_sweep, evolve_small, image_channel_stats, image_convolution, image_pooling, image_heat_map, image_heat_top, image_crop, image_subimages, image_classification, image_class_sizes, image_operations,
 )}
 
 _SIG = "(1 / (1 + exp(-({0}))))"
@@ -251,6 +266,13 @@ _HEAT = """hm AS (SELECT vec_id, y + dy AS py, x + dx AS px, sum(s) AS heat, cou
 (SELECT unnest(range(0, 4)) AS dy), (SELECT unnest(range(0, 4)) AS dx) GROUP BY ALL), hn AS (SELECT vec_id, py, px, round(heat / max(overlap) OVER (PARTITION BY vec_id), 5) AS heat, overlap FROM hm)"""
 
 ORACLES = {f"cell_{c}": _cell_sql(c) for c in WEIGHTS} | {f"step_{m.replace('-', '_')}": _step_sql(m) for m in UPDATES} | {
+    "network_forward": """WITH RECURSIVE l AS (SELECT *, ln(1 + abs(value)) AS lg, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS t FROM events), b AS (SELECT min(value) AS lo, max(value) AS hi, min(lg) AS llo, max(lg) AS lhi FROM l),
+    n AS (SELECT user_id, t, (value - lo) / (hi - lo) AS v, (lg - llo) / (lhi - llo) AS g, lead((value - lo) / (hi - lo)) OVER (PARTITION BY user_id ORDER BY t) AS y FROM l, b), q AS (SELECT * FROM n WHERE y IS NOT NULL),
+    sl AS (SELECT user_id, (max(t) + 1) // 20 AS k FROM q GROUP BY user_id), st AS (SELECT user_id, k, coalesce(sum(k) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM sl),
+    p AS (SELECT CAST(f + t // 20 AS BIGINT) AS episode_id, t % 20 AS step, v + 0.1::DOUBLE AS a, g - 0.2::DOUBLE AS b, y, lag(v + 0.1::DOUBLE, 2) OVER (PARTITION BY user_id, t // 20 ORDER BY t) AS late FROM q JOIN st USING (user_id) WHERE t // 20 < k),
+    rec(episode_id, step, h, o, y) AS (SELECT DISTINCT episode_id, CAST(-1 AS BIGINT), 0::DOUBLE, 0::DOUBLE, 0::DOUBLE FROM p UNION ALL
+    SELECT rec.episode_id, rec.step + 1, z.h, 0.9::DOUBLE * z.h - 0.6::DOUBLE * coalesce(late, 0) + 0.3::DOUBLE, p.y FROM rec JOIN p ON p.episode_id = rec.episode_id AND p.step = rec.step + 1, LATERAL (SELECT """ + _TANH.format("0.7::DOUBLE * a - 0.4::DOUBLE * b + 0.5::DOUBLE * rec.h + 0.05::DOUBLE") + """ AS h) z)
+    SELECT episode_id, round(sum(o), 5) AS sum_predicted, round(max(o) FILTER (step = 19), 6) AS last_predicted, round(avg((o - y) ** 2), 6) AS mse FROM rec WHERE step >= 0 GROUP BY episode_id""",
     "image_channel_stats": f"""WITH {_PX}, m AS (SELECT x % 2 AS channel, avg(v) AS mean FROM px GROUP BY ALL), d AS (SELECT x % 2 AS channel, vec_id, any_value(mean) AS mean, avg((v - mean) ** 2) AS q FROM px JOIN m ON m.channel = x % 2 GROUP BY ALL)
     SELECT channel, round(any_value(mean), 5) AS mean, round(sqrt(avg(q)), 5) AS sd FROM d GROUP BY channel""",
     "image_convolution": f"""WITH {_PX}, c AS (SELECT a.vec_id, a.y, a.x, sum(b.v * ((b.y - a.y) * 3 + b.x - a.x) / 10) AS o FROM px a JOIN px b ON a.vec_id = b.vec_id AND b.y - a.y BETWEEN 0 AND 2 AND b.x - a.x BETWEEN 0 AND 2 WHERE a.y <= 5 AND a.x <= 5 GROUP BY ALL)
