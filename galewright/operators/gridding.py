@@ -17,16 +17,16 @@ from galewright.operators.timestamps import bind
 
 def _intercept(s: list[Column], t: list[Column], degree: int) -> Column:
     """The local polynomial at the grid time from the sums of w x^k (``s``) and w x^k y (``t``): of the given degree, or of a lower one
-    where the readings don't determine it."""
+    where the readings don't determine it: a line needs times that spread over 3 % of the bandwidth, or it would be drawn through noise."""
     w = F.nullif(s[0], F.lit(0.0))
     out = t[0] / w
     if degree >= 1:
         d = s[0] * s[2] - s[1] * s[1]
-        out = F.when(d > 1e-6 * s[0] * s[0], (s[2] * t[0] - s[1] * t[1]) / d).otherwise(out)
+        out = F.when(d > 1e-3 * s[0] * s[0], (s[2] * t[0] - s[1] * t[1]) / d).otherwise(out)
     if degree >= 2:
         a, b, c = s[2] * s[4] - s[3] * s[3], s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] * s[2]
         d = s[0] * a - s[1] * b + s[2] * c
-        out = F.when(d > 1e-9 * s[0] * s[0] * s[0], (a * t[0] - b * t[1] + c * t[2]) / d).otherwise(out)
+        out = F.when(d > 1e-6 * s[0] * s[0] * s[0], (a * t[0] - b * t[1] + c * t[2]) / d).otherwise(out)
     return out
 
 

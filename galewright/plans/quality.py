@@ -119,7 +119,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lambda c: F.round(c, 3).alias(c)  # noqa: E731  # sums in another order differ in later places
+    r = lambda c: F.round(c, 0 if c == "p_avg" else 3).alias(c)  # noqa: E731  # sums in another order differ in later places
     grid = gridded(spark, sf_dir, ["p_avg", "ws_avg"])
     return grid.select(NAME, "slot_s", "n", "is_empty", r("support"), *[c for v in ("p_avg", "ws_avg") for c in (r(v), r(f"{v}_support"), f"{v}_missing")])
 
@@ -191,7 +191,7 @@ ORACLES = {
     wt AS (SELECT *, pow(1 - pow(abs(x), 3), 3) AS w, CASE WHEN p_avg IS NOT NULL AND NOT isnan(p_avg) THEN pow(1 - pow(abs(x), 3), 3) END AS wp, CASE WHEN ws_avg IS NOT NULL AND NOT isnan(ws_avg) THEN pow(1 - pow(abs(x), 3), 3) END AS ww FROM pl WHERE abs(x) < 1),
     m AS (SELECT wind_turbine_name, slot_s, count(*) FILTER (ins) AS n, sum(w) AS w, sum(w * w) AS w2, """ + ", ".join(f"sum({w}) AS {c}0, sum({w} * {w}) AS {c}q, sum({w} * x) AS {c}1, sum({w} * x * x) AS {c}2, sum({w} * {v}) AS {c}y, sum({w} * x * {v}) AS {c}z, count({w}) FILTER (ins) AS {c}i" for c, w, v in (("p", "wp", "p_avg"), ("s", "ww", "ws_avg"))) + """ FROM wt GROUP BY ALL)
     SELECT wind_turbine_name, slot_s, coalesce(n, 0) AS n, coalesce(n, 0) = 0 AS is_empty, round(coalesce(w * w / w2, 0), 3) AS support, """ + ", ".join(
-        f"coalesce({c}0 * {c}0 / {c}q < 1.5 AND {c}i = 0, true) AS {v}_missing, round(coalesce({c}0 * {c}0 / {c}q, 0), 3) AS {v}_support, round(CASE WHEN {c}0 * {c}0 / {c}q >= 1.5 OR {c}i > 0 THEN CASE WHEN {c}0 * {c}2 - {c}1 * {c}1 > 1e-6 * {c}0 * {c}0 THEN ({c}2 * {c}y - {c}1 * {c}z) / ({c}0 * {c}2 - {c}1 * {c}1) ELSE {c}y / {c}0 END END, 3) AS {v}"
+        f"coalesce({c}0 * {c}0 / {c}q < 1.5 AND {c}i = 0, true) AS {v}_missing, round(coalesce({c}0 * {c}0 / {c}q, 0), 3) AS {v}_support, round(CASE WHEN {c}0 * {c}0 / {c}q >= 1.5 OR {c}i > 0 THEN CASE WHEN {c}0 * {c}2 - {c}1 * {c}1 > 1e-3 * {c}0 * {c}0 THEN ({c}2 * {c}y - {c}1 * {c}z) / ({c}0 * {c}2 - {c}1 * {c}1) ELSE {c}y / {c}0 END END, {0 if v == 'p_avg' else 3}) AS {v}"
         for c, v in (("p", "p_avg"), ("s", "ws_avg"))) + " FROM g LEFT JOIN m USING (wind_turbine_name, slot_s)",
     "p2_found": f"SELECT DISTINCT table_name, row_id, ref_field FROM ({_ORPHANS})",
     "p2_report": f"SELECT table_name, ref_field, month, count(DISTINCT row_id) AS n_rows FROM ({_ORPHANS}) GROUP BY ALL",

@@ -19,7 +19,8 @@ def reference(rows, step, bandwidth, min_support, degree=1):
             if support >= min_support or (inside.any() and w.any()):
                 k = w > 0
                 sw = np.sqrt(w[k])
-                a = np.stack([x[k] ** p for p in range(min(degree, len(set(x[k])) - 1) + 1)], 1)
+                wide = np.average(x[k] ** 2, weights=w[k]) - np.average(x[k], weights=w[k]) ** 2 > 1e-3
+                a = np.stack([x[k] ** p for p in range((degree if wide else 0) + 1)], 1)
                 y = float(np.linalg.lstsq(a * sw[:, None], v[k] * sw, rcond=None)[0][0])
             out[s, slot] = (int(inside.sum()), y)
     return out
