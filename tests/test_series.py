@@ -103,3 +103,23 @@ def test_spec():
             SeriesSpec(**bad)
     with pytest.raises(ValueError):
         RunConfig.from_arguments(["--population-size", "4"])
+
+
+def test_windows_are_listed_last_and_only_over_ids_that_exist(spark):
+    """Gaps, blocks, ids below 0 and repeats; nothing is shuffled or sorted once a window's rows are made."""
+    ids = [-3, 0, 1, 1, 2, 5, 6, 1022, 1023, 1024, 1025, 2047, 2048, 2050]
+    generations = [0, 1, 4, 1019, 1021, 2040]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = S.availability(spark.createDataFrame([(k,) for k in ids], "episode_id long"), spark.createDataFrame([(g,) for g in generations], "generation long").repartition(3, "generation"), 2, 3)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(tuple(r) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    role = lambda g, k: "train" if k < g + 2 else "validation" if k < g + 5 else "test"
+    assert rows == sorted((g, k, role(g, k)) for g in generations for k in set(ids) if 0 <= k <= g + 5)
+    above = plan.split("Generate explode(sequence", 1)[0]
+    assert len(above) < len(plan) and "Exchange" not in above and "Join" not in above
+    empty = spark.createDataFrame([], "episode_id long")
+    assert S.availability(empty, spark.createDataFrame([(0,)], "generation long"), 2, 3).count() == 0
